@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import simhash
-from ledgerlens.llm.common import table
+from ledgerlens.llm import quality, simhash, warc
+from ledgerlens.llm.common import shared_dir, table
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.metrics(docs, quality.order_rules(docs))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ledgerlens/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +27,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
-
-ORACLES: dict[str, str] = {}
