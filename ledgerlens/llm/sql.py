@@ -43,7 +43,35 @@ select page_id, payload_bytes, payload_digest,
 from f
 """
 
+OP3 = r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select cast(item_id as varchar) as item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), wins as (
+  select distinct item_id, least(13, len(w)) as k, array_to_string(w[i:i + 12], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)
+), runs as (
+  select rid, i, k, array_to_string(w[i:i + k - 1], ' ') as s
+  from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from wins) where len(w) >= k)
+), hits as (
+  select r.rid, r.i, r.k, wins.item_id from runs r join wins using (k, s)
+), words as (
+  select rid, cast(count(distinct i + j) as bigint) as n_hit from hits, unnest(range(0, k)) as u(j) group by rid
+), items as (
+  select rid, cast(count(distinct item_id) as bigint) as n_items, array_to_string(list_sort(list(distinct item_id)), ',') as ids from hits group by rid
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from d left join words using (rid) left join items using (rid)
+"""
+
 ORACLES = {
+    "op3_benchmark_decontamination": OP3,
     "op4_quality_rules": OP4,
     "op5_warc": OP5,
 }
