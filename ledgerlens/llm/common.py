@@ -67,3 +67,34 @@ def join_hot_aware(left: DataFrame, right: DataFrame, key: str, size: str, total
     if how == "inner":
         out = out.where(F.col("_side").isNotNull())
     return out.select(*left.columns, *[F.col(f"_side.{c}").alias(c) for c in fields])
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, size: str, total: int, salts: int = 32) -> DataFrame:
+    """left joined with right, which has one row per key and in column size the number of left's rows with that key.
+
+    Rows of right whose key is hot, at most HOT_SHARE of them, are dealt out so many times, and left's rows with that key among the
+    copies. Only the hot keys themselves are broadcast, so right's rows may be of any width.
+    """
+    limit = max(1, total // HOT_SHARE)
+    hot = F.broadcast(right.where(F.col(size) > limit).select(F.col(key).alias("_hot")))
+    spread = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    )
+    copies = F.when(F.col(size) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = right.withColumn("_salt", F.explode(copies)).drop(size)
+    return spread.join(dealt, [key, "_salt"]).drop("_salt", "_hot")
+
+
+def slices(batch, column: int, most_bytes: int = 4 << 20):
+    """A record batch in pieces of at least one row and, but for single rows, at most so many bytes in the column; bounds what a Python worker holds."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most_bytes:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if batch.num_rows > at:
+        yield batch.slice(at)

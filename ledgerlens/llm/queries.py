@@ -5,11 +5,30 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, quality, simhash, toxicity, warc
+from ledgerlens.llm import bpe, chat, decontaminate, quality, simhash, toxicity, warc
 from ledgerlens.llm.common import shared_dir, table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or vocabulary("byte_bpe_50k.json")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    )
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nodes, members = chat.build(given.unionByName(more), path)
+    return chat.digests(nodes, members, path)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,14 +48,27 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or vocabulary("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }

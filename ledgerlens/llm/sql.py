@@ -43,6 +43,20 @@ select page_id, payload_bytes, payload_digest,
 from f
 """
 
+OP1 = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) as bigint) as formatted_chars
+from c group by conv_id
+"""
+
 OP3 = r"""
 with d as (
   select row_number() over () as rid, doc_id,
@@ -71,6 +85,7 @@ from d left join words using (rid) left join items using (rid)
 """
 
 ORACLES = {
+    "op1_chat_formatting": OP1,
     "op3_benchmark_decontamination": OP3,
     "op4_quality_rules": OP4,
     "op5_warc": OP5,
