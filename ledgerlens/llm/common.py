@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than 1/HOT_SHARE of the rows, so at most HOT_SHARE keys can be hot, whatever the data.
 HOT_SHARE = 64
 
+#: A side whose measured size is within this is broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

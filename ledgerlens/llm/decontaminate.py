@@ -56,11 +56,10 @@ def prefixes(docs: DataFrame, items: DataFrame, text_col: str = "text", length:
     wins = written(windows(items, length), "windows")
     vocabulary = written(wins.select(F.explode("window").alias("token")).distinct(), "vocabulary")
     spoken = docs.select(F.explode(words(F.col(text_col))).alias("token"))
-    rarity = (
-        spoken.join(_side(vocabulary, F.octet_length("token") + 16), "token").groupBy("token").agg(F.count("*").alias("times"))
-    )
+    size = F.octet_length("token") + 16
+    rarity = written(spoken.join(_side(vocabulary, size), "token").groupBy("token").agg(F.count("*").alias("times")), "rarity")
     placed = wins.select("item_id", "window", F.posexplode("window").alias("offset", "token"))
-    ranked = placed.join(rarity, "token")  # a window with a word that no document has can't occur
+    ranked = placed.join(_side(rarity, size), "token")  # a window with a word that no document has can't occur
     return written(
         ranked.groupBy("item_id", "window").agg(
             F.min(F.struct("times", "token", "offset")).alias("r"), F.count("*").alias("found")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, quality, simhash, toxicity, warc
+from ledgerlens.llm import bpe, chat, decontaminate, pages, quality, simhash, toxicity, warc
 from ledgerlens.llm.common import shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
+    "op6_html_extraction": op6_html_extraction,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
