@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, pages, quality, simhash, toxicity, warc
+from ledgerlens.llm import bpe, chat, decontaminate, licenses, pages, quality, simhash, toxicity, warc
 from ledgerlens.llm.common import shared_dir, table
 
 
@@ -29,6 +29,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str, path: str | None = Non
     return chat.digests(nodes, members, path)
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree /source/lang/thousand/: those with ids that end in 000 are the directory's licence file, in 500 that of /source/lang."""
+    part = F.pmod("doc_id", F.lit(1000))
+    top = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+    inner = F.concat(top, F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/"))
+    path = F.when(part == 0, F.concat(inner, F.lit("LICENSE"))).when(part == 500, F.concat(top, F.lit("/LICENSE")))
+    return docs.select(F.col("doc_id").alias("id"), path.otherwise(F.concat(inner, F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(document_files(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id").withColumn("cosine", F.round("cosine", 4))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_license_scan": op2_license_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,

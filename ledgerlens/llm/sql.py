@@ -84,8 +84,57 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from d left join words using (rid) left join items using (rid)
 """
 
+OP2 = r"""
+with templates(template, licence, words) as (values TEMPLATE_ROWS),
+tt as (select template, licence, term, count(*) as n from (select template, licence, unnest(regexp_extract_all(lower(words), '[a-z0-9]+')) as term from templates) group by all),
+f as (
+  select doc_id, text,
+    '/' || coalesce(source, '') || '/' || coalesce(lang, '') as top,
+    doc_id % 1000 as part, cast(doc_id // 1000 as varchar) as thousand from documents
+), files as (
+  select doc_id, text, case when part = 0 then top || '/' || thousand || '/LICENSE' when part = 500 then top || '/LICENSE' else top || '/' || thousand || '/' || doc_id || '.txt' end as path,
+    part in (0, 500) as is_licence,
+    case when part = 500 then top else top || '/' || thousand end as dir, top from f
+), total as (select count(*) as n from documents),
+held as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
+df as (select term, count(*) as n from held where term in (select term from tt) group by term),
+weights as (select distinct tt.term, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 as weight from tt cross join total left join df using (term)),
+tw as (select template, licence, term, n * weight as w from tt join weights using (term)),
+tv as (select template, licence, term, w / sqrt(sum(w * w) over (partition by template)) as t from tw),
+units as (
+  select distinct doc_id, unnest(list_concat(string_split(text, chr(10)), [regexp_split_to_array(text, '
+[ 	
+]*
+')[1]], case when is_licence then [text] else [] end)) as unit from files
+),
+uv as (
+  select unit, term, count(*) * coalesce(weight, (select ln(1 + n) + 1 from total)) as w, weight is not null as known
+  from (select unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) as term from (select distinct unit from units)) left join weights using (term) group by unit, term, weight
+), norms as (select unit, sqrt(sum(w * w)) as norm from uv group by unit),
+cosines as (select unit, template, licence, round(sum(w * t) / any_value(norm), 6) as cosine from uv join tv using (term) join norms using (unit) group by unit, template, licence),
+own as (
+  select doc_id, cosine, licence from units join cosines using (unit) where cosine >= 0.6
+  qualify row_number() over (partition by doc_id order by cosine desc, licence) = 1
+), given as (
+  select dir, cosine, licence from own join files using (doc_id) where is_licence
+  qualify row_number() over (partition by dir order by cosine desc, licence) = 1
+)
+select doc_id, path, coalesce(own.licence, near.licence, up.licence) as licence, round(coalesce(own.cosine, near.cosine, up.cosine), 4) as cosine,
+  case when own.licence is not null then 'own' when coalesce(near.licence, up.licence) is not null then 'inherited' else 'none' end as origin,
+  case when own.licence is null then coalesce(near.dir, up.dir) end as licence_dir
+from files left join own using (doc_id) left join given as near on near.dir = files.dir left join given as up on up.dir = files.top
+"""
+
+
+def _template_rows() -> str:
+    from ledgerlens.llm.licenses import TEMPLATES
+
+    return ", ".join(f"({k}, '{licence}', '{words}')" for k, (licence, words) in enumerate(TEMPLATES))
+
+
 ORACLES = {
     "op1_chat_formatting": OP1,
+    "op2_license_scan": OP2.replace("TEMPLATE_ROWS", _template_rows()),
     "op3_benchmark_decontamination": OP3,
     "op4_quality_rules": OP4,
     "op5_warc": OP5,
