@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, licenses, pages, quality, simhash, toxicity, warc
+from ledgerlens.llm import bpe, chat, decontaminate, licenses, pages, quality, simhash, substring, toxicity, warc
 from ledgerlens.llm.common import shared_dir, table
 
 
@@ -66,6 +66,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or vocabulary("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -89,6 +93,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_html_extraction": op6_html_extraction,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
