@@ -24,12 +24,12 @@ WINDOW = 13
 BROADCAST_BYTES = 64 << 20
 
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same characters but for A-Z, for counting words without folding.
-_WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: The same without A-Z, for counting words without folding.
+_BREAKS_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), _BREAKS), lambda x: x != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), _BREAKS), "")
 
 
 def _side(df: DataFrame, size: Column) -> DataFrame:
@@ -113,7 +113,7 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("_hash"),
-        F.coalesce(F.regexp_count(text, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
+        F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _BREAKS_ANY_CASE), "")).cast("long").alias("n_words"),
     )
     both = base.join(
         found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")), "left"
