@@ -7,18 +7,20 @@ Conversations that begin with the same turns share the nodes of those turns. A t
 with every backslash doubled and every `<|` inside a text or role as `<\\|` (and a line break in a role as `\\n`), so no text can hold a control
 string and all of it can be read back. `build` gives each node once, in depth-first order of the forest:
 
+* `node`, its name, that of its `parent`, and `path`, the names of the first nodes of the segments down to it (see below);
 * `token_ids`, the node's tokens, and `start`, the place of the first of them in the whole depth-first stream;
 * `position`, the position id of its first token: the tokens before it in any conversation that holds it;
 * `attend_until`: the node's tokens are seen by the stream's tokens from their own place up to here. Since descendants follow their ancestor
   without a gap, these intervals say just that every token attends to its ancestors and to what stands before it in its own node;
 * `loss_from`, `loss_until`: the tokens under the loss mask, an assistant's text without its frame.
 
-No tree is gathered anywhere: the order is a range sort by the nodes' paths, places are running sums in the sorted ranges plus the ranges'
-totals, and subtrees' sizes are a two-step sum over each node's ancestors. A first turn that very many conversations share is one node.
+No tree is gathered anywhere. A node is named by the digest of the turns up to it. Along a conversation the number of conversations that
+share a node only falls, and where it doesn't, nothing branches off: such runs of nodes are segments, and the digests of its segments' first nodes are a
+node's path. The order is a range sort by path and depth, places are running sums in the sorted ranges plus the ranges' totals, and subtrees'
+sizes are a two-step sum over each segment's ancestors. A first turn that very many conversations share is one node, and joins on it are salted.
 
 Defined results: null texts and roles are empty; turns are in the order of turn, then role, then text, nulls first; rows that repeat a turn are
 turns of their own; conversations that are equal share all nodes; a null conv_id is a conversation of its own; an empty table gives empty results; further columns are ignored.
-A path's key has 16 bytes a turn, so a conversation of n turns makes keys of 8 n**2 bytes in all.
 """
 
 from __future__ import annotations
@@ -62,20 +64,35 @@ def _turns(conversations: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
-def _paths(batches):
-    """A row per turn with its path: the digests of all turns up to it."""
+def _named(batches):
+    """A row per turn, with the digest of all turns up to it and that of all before."""
     for batch in batches:
+        out = []
         for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            path, out = b"", []
+            parent = None
             for depth, t in enumerate(turns):
                 role, text = t["role"], t["text"]
-                path += hashlib.sha256(f"{len(role)} {role}{text}".encode()).digest()[:STEP]
-                out.append((conv, path, depth, role, text, depth == len(turns) - 1))
-            columns = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "path", "depth", "role", "text", "last"]
-            )
+                node = hashlib.sha256((parent or b"") + f"{len(role)} {role}{text}".encode()).digest()[:STEP]
+                out.append((conv, node, parent, depth, role, text, depth == len(turns) - 1))
+                parent = node
+        names = ["conv_id", "node", "parent", "depth", "role", "text", "last"]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _segmented(batches):
+    """A row per node of the given ways down the tree, with the path of its segment."""
+    for batch in batches:
+        nodes, paths = [], []
+        for way in batch.column(0).to_pylist():
+            path, shared = b"", None
+            for step in way:
+                if step["n"] != shared:
+                    path, shared = path + step["node"], step["n"]
+                nodes.append(step["node"])
+                paths.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(paths, pa.binary())], names=["node", "path"])
 
 
 def _tokenizer(spec: str):
@@ -108,75 +125,100 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
 
         for whole in batches:
             for batch in slices(whole, 3, 1 << 20):
-                framed = [frame(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                roles = batch.column(2).to_pylist()
+                framed = [frame(r, t) for r, t in zip(roles, batch.column(3).to_pylist(), strict=True)]
                 bodies = tokenizer.encode_batch_fast([f[1] for f in framed], add_special_tokens=False)
                 ids, start, until = [], [], []
-                for (head, _, tail), body, role in zip(framed, bodies, batch.column(2).to_pylist(), strict=True):
+                for (head, _, tail), body, role in zip(framed, bodies, roles, strict=True):
                     before, own = of(head), body.ids
                     ids.append([*before, *own, *of(tail)])
                     start.append(len(before))
                     until.append(len(before) + (len(own) if role == LEARNT else 0))
                 made = [pa.array(ids, pa.list_(pa.int32())), pa.array(start, pa.int64()), pa.array(until, pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(4), *made],
-                    names=["path", "depth", "n_refs", "token_ids", "loss_from", "loss_until"],
+                    [*(batch.column(k) for k in (0, 1, 4, 5)), *made],
+                    names=["node", "parent", "depth", "n_refs", "token_ids", "loss_from", "loss_until"],
                 )
 
     turns = written(
-        _turns(conversations).mapInArrow(_paths, "conv_id long, path binary, depth long, role string, text string, last boolean"), "turns"
+        _turns(conversations).mapInArrow(
+            _named, "conv_id long, node binary, parent binary, depth long, role string, text string, last boolean"
+        ),
+        "turns",
     )
-    unique = turns.groupBy("path").agg(
-        F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("n_refs")
-    ).select("path", "depth", "role", "text", "n_refs")
-    tokenised = unique.mapInArrow(
-        tokens, "path binary, depth long, n_refs long, token_ids array<int>, loss_from long, loss_until long"
+    unique = turns.groupBy("node").agg(
+        F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("n_refs")
+    ).select("node", "parent", "role", "text", "depth", "n_refs")
+    laid = written(
+        unique.mapInArrow(
+            tokens, "node binary, parent binary, depth long, n_refs long, token_ids array<int>, loss_from long, loss_until long"
+        ).withColumn("n_tokens", F.size("token_ids").cast("long")),
+        "laid",
     )
-    ordered = tokenised.repartitionByRange("path").sortWithinPartitions("path")
-    laid = written(ordered.withColumn("range", F.spark_partition_id()).withColumn("n_tokens", F.size("token_ids").cast("long")), "laid")
 
-    sums = laid.groupBy("range").agg(F.sum("n_tokens").alias("held")).collect()  # a row per partition
+    lines = written(ways(turns.where("last").select("conv_id", "node"), turns), "ways")
+    sizes = lines.groupBy("node").agg(F.count("*").alias("n"))
+    shared = laid.select("node", F.col("n_refs").alias("n"))
+    steps = join_salted(lines, shared, "node", sizes, lines.count())
+    way = F.array_sort(F.collect_list(F.struct("depth", "node", "n"))).alias("way")
+    paths = steps.groupBy("leaf").agg(way).select("way").mapInArrow(_segmented, "node binary, path binary")
+    slim = laid.select("node", "depth", "n_tokens").join(paths.groupBy("node").agg(F.first("path").alias("path")), "node")
+
+    ordered = written(
+        slim.repartitionByRange("path", "depth").sortWithinPartitions("path", "depth").withColumn("range", F.spark_partition_id()), "ordered"
+    )
+    sums = ordered.groupBy("range").agg(F.sum("n_tokens").alias("held")).collect()  # a row per partition
     base, at = {}, 0
     for r in sorted(sums):
         base[r["range"]] = at
         at += r["held"]
     bases = F.broadcast(spark.createDataFrame([*base.items()], "range int, base long"))
-    before = F.coalesce(F.sum("n_tokens").over(W.partitionBy("range").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = laid.join(bases, "range").withColumn("start", F.col("base") + before)
+    in_range = W.partitionBy("range").orderBy("path", "depth").rowsBetween(W.unboundedPreceding, -1)
+    starts = written(
+        ordered.join(bases, "range").select("node", "path", "n_tokens", (F.col("base") + F.coalesce(F.sum("n_tokens").over(in_range), F.lit(0))).alias("start")),
+        "starts",
+    )
 
-    lines = written(
-        laid.select(
-            F.col("path").alias("node"), "n_tokens", F.explode(F.sequence(F.lit(1), (F.col("depth") + 1).cast("int"))).alias("k")
-        ).select("node", "n_tokens", F.expr(f"substring(node, 1, {STEP} * k)").alias("path")),
-        "ancestors",
+    segments = written(
+        starts.groupBy("path").agg(F.sum("n_tokens").alias("held"), F.min("start").alias("begin"), F.count("*").alias("n")), "segments"
+    )
+    levels = F.explode(F.expr(f"sequence(1, cast(length(path) / {STEP} as int))"))
+    above = written(
+        segments.select(F.col("path").alias("segment"), "held", levels.alias("k")).select("segment", "held", F.expr(f"substring(segment, 1, {STEP} * k)").alias("path")),
+        "above",
+    )
+    below = written(above.groupBy("path").agg(F.sum("held").alias("below"), F.count("*").alias("n")), "below")
+    over = join_salted(above.drop("held"), segments.select("path", F.col("held").alias("over")), "path", below, above.count())
+    ahead = over.groupBy(F.col("segment").alias("path")).agg(F.sum("over").alias("upto"))
+    facts = written(
+        segments.join(below.drop("n"), "path").join(ahead, "path").select(
+            "path", "n", "begin", (F.col("upto") - F.col("held")).alias("ahead"), (F.col("begin") + F.col("below")).alias("attend_until")
+        ),
+        "facts",
+    )
+    places = join_hot_aware(starts, facts, "path", "n", starts.count()).select(
+        "node", "path", "start", (F.col("ahead") + F.col("start") - F.col("begin")).alias("position"), "attend_until"
     )
-    under = written(lines.groupBy("path").agg(F.sum("n_tokens").alias("below"), F.count("*").alias("n_lines")), "under")
-    held = laid.select("path", F.col("n_tokens").alias("held")).join(under.drop("below"), "path")
-    above = join_salted(lines, held, "path", "n_lines", lines.count())
-    ahead = above.groupBy(F.col("node").alias("path")).agg((F.sum("held") - F.first("n_tokens")).alias("position"))
-    under = under.drop("n_lines")
-    nodes = placed.join(under, "path").join(ahead, "path").select(
-        "path",
-        F.expr(f"if(depth = 0, null, substring(path, 1, {STEP} * depth))").alias("parent"),
-        "depth",
-        "n_refs",
-        "start",
-        "position",
-        (F.col("start") + F.col("below")).alias("attend_until"),
-        "token_ids",
-        "loss_from",
-        "loss_until",
+    nodes = places.join(laid, "node").select(
+        "node", "parent", "path", "depth", "n_refs", "start", "position", "attend_until", "token_ids", "loss_from", "loss_until"
     )
-    return written(nodes, "nodes"), turns.where("last").select("conv_id", "path")
+    return written(nodes, "nodes"), turns.where("last").select("conv_id", "node")
+
+
+def ways(members: DataFrame, steps: DataFrame) -> DataFrame:
+    """(leaf, depth, node): the nodes of every different conversation, from the rows (conv_id, depth, node) of one conversation for each."""
+    one = members.groupBy(F.col("node").alias("leaf")).agg(F.min("conv_id").alias("_conv"))
+    return steps.join(one, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("leaf", "depth", "node")
 
 
 def read_nodes(nodes: DataFrame, vocabulary: str) -> DataFrame:
-    """(path, depth, n_refs, role, text, loss, n_chars): what each node's tokens say, with loss the text under the mask or null."""
+    """(path, depth, role, text, loss, n_chars): what each node's tokens say, with loss the text under the mask or null."""
     spec = nodes.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batches):
         tokenizer = _tokenizer(spec.value)
         for batch in batches:
-            ids, low, high = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            ids, low, high = (batch.column(k).to_pylist() for k in (2, 3, 4))
             texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
             masked = tokenizer.decode_batch([x[a:b] for x, a, b in zip(ids, low, high, strict=True)], skip_special_tokens=False)
             roles, bodies = [], []
@@ -186,33 +228,31 @@ def read_nodes(nodes: DataFrame, vocabulary: str) -> DataFrame:
                 bodies.append(unescape(body))
             loss = [unescape(m) if r == LEARNT else None for m, r in zip(masked, roles, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in (0, 1, 2)), pa.array(roles, pa.string()), pa.array(bodies, pa.string()), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["path", "depth", "n_refs", "role", "text", "loss", "n_chars"],
+                [batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(bodies, pa.string()), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["path", "depth", "role", "text", "loss", "n_chars"],
             )
 
-    slim = nodes.select("path", "depth", "n_refs", "token_ids", "loss_from", "loss_until")
-    return slim.mapInArrow(run, "path binary, depth long, n_refs long, role string, text string, loss string, n_chars long")
+    slim = nodes.select("path", "depth", "token_ids", "loss_from", "loss_until")
+    return slim.mapInArrow(run, "path binary, depth long, role string, text string, loss string, n_chars long")
 
 
 def read_back(nodes: DataFrame, members: DataFrame, vocabulary: str) -> DataFrame:
-    """(path, n, turns array<(depth, role, text, loss, n_chars)>): every different conversation, read from the forest, and how many it stands for.
+    """(node, n, turns array<(depth, role, text, loss, n_chars)>): every different conversation, read from the forest, and how many it stands for.
 
-    Equal conversations are read once. The nodes that very many conversations share are salted.
+    A conversation is all nodes of the segments on its last node's path.
     """
-    said = written(read_nodes(nodes, vocabulary), "said")
-    ends = members.groupBy("path").agg(F.count("*").alias("n"))
+    ends = written(members.groupBy("node").agg(F.count("*").alias("n")).join(nodes.select("node", "path"), "node"), "ends")
+    levels = F.explode(F.expr(f"sequence(1, cast(length(path) / {STEP} as int))"))
     lines = written(
-        ends.select(
-            F.col("path").alias("end"), F.explode(F.expr(f"sequence(1, cast(length(path) / {STEP} as int))")).alias("k")
-        ).select("end", F.expr(f"substring(end, 1, {STEP} * k)").alias("path")),
+        ends.select(F.col("node").alias("leaf"), "path", levels.alias("k")).select("leaf", F.expr(f"substring(path, 1, {STEP} * k)").alias("path")),
         "lines",
     )
-    sizes = lines.groupBy("path").agg(F.count("*").alias("n_lines"))
-    spoken = said.drop("n_refs").join(sizes, "path")
-    whole = join_salted(lines, spoken, "path", "n_lines", lines.count())
-    told = whole.groupBy("end").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text", "loss", "n_chars"))).alias("turns"))
-    of_end = told.withColumnRenamed("end", "path").join(ends, "path")
-    return of_end
+    sizes = lines.groupBy("path").agg(F.count("*").alias("n"))
+    whole = join_salted(lines, read_nodes(nodes, vocabulary), "path", sizes, lines.count())
+    told = whole.groupBy(F.col("leaf").alias("node")).agg(
+        F.array_sort(F.collect_list(F.struct("depth", "role", "text", "loss", "n_chars"))).alias("turns")
+    )
+    return told.join(ends.drop("path"), "node")
 
 
 def digests(nodes: DataFrame, members: DataFrame, vocabulary: str) -> DataFrame:
@@ -221,7 +261,7 @@ def digests(nodes: DataFrame, members: DataFrame, vocabulary: str) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: F.coalesce(t["loss"], F.lit(""))), "")
     told = of_end.select(
-        "path",
+        "node",
         "n",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
@@ -229,7 +269,7 @@ def digests(nodes: DataFrame, members: DataFrame, vocabulary: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["n_chars"]).alias("formatted_chars"),
     )
-    return join_hot_aware(members, told, "path", "n", members.count()).drop("path")
+    return join_hot_aware(members, told, "node", "n", members.count()).drop("node")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -72,20 +72,21 @@ def join_hot_aware(left: DataFrame, right: DataFrame, key: str, size: str, total
     return out.select(*left.columns, *[F.col(f"_side.{c}").alias(c) for c in fields])
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, size: str, total: int, salts: int = 32) -> DataFrame:
-    """left joined with right, which has one row per key and in column size the number of left's rows with that key.
+def join_salted(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, salts: int = 32) -> DataFrame:
+    """left joined with right, which has few rows per key; sizes (key, n) has the number of left's rows per key, total rows in all.
 
     Rows of right whose key is hot, at most HOT_SHARE of them, are dealt out so many times, and left's rows with that key among the
     copies. Only the hot keys themselves are broadcast, so right's rows may be of any width.
     """
     limit = max(1, total // HOT_SHARE)
-    hot = F.broadcast(right.where(F.col(size) > limit).select(F.col(key).alias("_hot")))
+    hot = F.broadcast(sizes.where(F.col("n") > limit).select(F.col(key).alias("_hot")))
+    is_hot = F.col("_hot").isNotNull()
     spread = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     )
-    copies = F.when(F.col(size) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    dealt = right.withColumn("_salt", F.explode(copies)).drop(size)
-    return spread.join(dealt, [key, "_salt"]).drop("_salt", "_hot")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread.drop("_hot").join(dealt, [key, "_salt"]).drop("_salt")
 
 
 def slices(batch, column: int, most_bytes: int = 4 << 20):
