@@ -1 +1,6 @@
-"""ledgerlens.plans."""
+"""All queries over the tables, by name, and their SQL."""
+
+from ledgerlens.plans import detection
+
+QUERIES = {**detection.QUERIES}
+ORACLES = {**detection.ORACLES}
