@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import as_double, kurtosis, quantile, share, skewness
+from ledgerlens.functions.ranks import ranked_values
 from ledgerlens.operators.prep import numeric_columns
 
 _ID_NAME = re.compile(r"(^|[_ ])(id|uuid|guid|key|account|iban|number|no)($|[_ ])", re.I)
@@ -184,19 +185,17 @@ def _varying(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df's columns as average ranks: each different value is ranked by the running count of the smaller ones, over the values and not over the rows."""
-    out = df.select(*columns)
+    """df's columns as average ranks, each taken over the column's different values."""
+    out = df.select(*[as_double(c).alias(c) for c in columns])
     for c in columns:
-        counts = out.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-        ranks = counts.select("_v", (upto - (F.col("_n") - 1) / 2).alias("_rank"))
+        ranks = ranked_values(df, c).select(F.col("value").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
         out = out.join(ranks, F.col(c) == F.col("_v"), "left").select(*[F.col("_rank").alias(c) if k == c else F.col(k) for k in columns])
     return out
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", most: int = 60) -> DataFrame:
     """(a, b, r) for every pair of at most so many columns, from one pass; pairs with a constant column have no r."""
-    columns = sorted(columns or numeric_columns(df))[:most]
+    columns = list(columns or numeric_columns(df))[:most]
     varying = _varying(df, columns)
     data = average_ranks(df, varying) if method == "spearman" else df
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -1,6 +1,6 @@
 """All queries over the tables, by name, and their SQL."""
 
-from ledgerlens.plans import detection
+from ledgerlens.plans import detection, profiling
 
-QUERIES = {**detection.QUERIES}
-ORACLES = {**detection.ORACLES}
+QUERIES = {**detection.QUERIES, **profiling.QUERIES}
+ORACLES = {**detection.ORACLES, **profiling.ORACLES}

@@ -226,7 +226,11 @@ def date_range(tx):
     return graph.date_range(tx)
 
 
-@query(f" select * from tx where account = '{FOCUS}' or account_1 = '{FOCUS}'")
+#: The view has no equal rows. This DuckDB build fails on selective filters over joins' dictionary-coded columns; filters over aggregates work.
+_NUMBERED = ", nx as (select *, max(account) as ka, max(account_1) as kb from tx group by all)"
+
+
+@query(_NUMBERED + f" select * exclude (ka, kb) from nx where ka = '{FOCUS}' or kb = '{FOCUS}'")
 def account_slice(tx):
     return one.slice_of(tx, FOCUS)
 
@@ -236,9 +240,9 @@ def account_dataset_stats(tx):
     return one.dataset_stats(tx, FOCUS)
 
 
-_WAYS = f""", w as (
-  select 'out' as d, account_1 as c, amount_paid as amount, * from tx where account = '{FOCUS}'
-  union all select 'in', account, amount_received, * from tx where account_1 = '{FOCUS}')"""
+_WAYS = _NUMBERED + f""", w as (
+  select 'out' as d, account_1 as c, amount_paid as amount, * from nx where ka = '{FOCUS}'
+  union all select 'in', account, amount_received, * from nx where kb = '{FOCUS}')"""
 
 
 @query(_WAYS + f""" select '{FOCUS}' as account, count(*) as total_tx, count(*) filter (d = 'in') as inbound_tx, count(*) filter (d = 'out') as outbound_tx,
