@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes to be none of df's columns."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests on one machine) a new temporary folder becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -127,16 +127,16 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     return [rule for _, rule in sorted(zip(worth, rules, strict=True), key=lambda x: -x[0])]
 
 
-def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """docs and rejected_by, the first of rules in this order that a document fails, or null."""
-    columns = [F.col(c) for c in docs.columns if c != "rejected_by"]
+def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", out: str = "rejected_by") -> DataFrame:
+    """docs and column out, the first of rules in this order that a document fails, or null."""
+    columns = [F.col(c) for c in docs.columns if c != out]
     df = prepared(docs, text_col).withColumn("_q_rejected", F.lit(None).cast("string"))
     for rule in rules:
         df = with_steps(df, rule.needs, F.col("_q_rejected").isNull())
         df = df.withColumn("_q_rejected", F.coalesce("_q_rejected", F.when(failing(rule), rule.name)))
     # The second branch is never taken. It only keeps filters on the verdict from being pushed below, where each would hold all steps written out.
     verdict = F.coalesce("_q_rejected", F.when(F.spark_partition_id() < 0, "none"))
-    return df.select(*columns, verdict.alias("rejected_by"))
+    return df.select(*columns, verdict.alias(out))
 
 
 def metrics(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

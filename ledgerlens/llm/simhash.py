@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import join_hot_aware, written
+from ledgerlens.llm.common import free_name, join_hot_aware, slices, written
 from ledgerlens.llm.components import components
 
 #: A-Z to a-z.
@@ -54,10 +54,11 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
-        found = [fingerprint(x) for x in batch.column(1).to_pylist()]
-        signed = np.array(found, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
+    for whole in batches:
+        for batch in slices(whole, 1):
+            found = [fingerprint(x) for x in batch.column(1).to_pylist()]
+            signed = np.array(found, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +113,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_stays"]), "left_semi")
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return kept.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    name = free_name(docs, "_rank")
+    return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
