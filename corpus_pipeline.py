@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, decontaminate, quality, simhash, substring
-from ledgerlens.llm.common import shared_dir, table
+from ledgerlens.llm.common import free_name, shared_dir, table
 from ledgerlens.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all rules."""
-    judged = quality.cascade(docs, quality.order_rules(docs))
-    return judged.where(F.col("rejected_by").isNull()).select(docs.columns)
+    verdict = free_name(docs, "rejected_by")
+    judged = quality.cascade(docs, quality.order_rules(docs), out=verdict)
+    return judged.where(F.col(verdict).isNull()).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
