@@ -57,7 +57,7 @@ def pre_model(df: DataFrame, config: MatrixConfig | None = None) -> DataFrame:
         if c in cfg.missing_flags:
             x[f"{c}_missing"] = value.isNull().cast("double")
         if c in cfg.logs:
-            value = F.log1p(F.greatest(value, F.lit(0.0)))
+            value = F.log1p(F.when(value < 0, 0.0).otherwise(value))
         elif c in cfg.signed_logs:
             value = signed_log(F.coalesce(value, F.lit(0.0)))
         x[c] = value

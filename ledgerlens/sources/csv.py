@@ -66,7 +66,7 @@ def _raw(spark: SparkSession, path: str, sep: str, encoding: str) -> tuple[DataF
     header = unique_names(next(csv.reader([first[0][0].lstrip("﻿")], delimiter=sep))) if first else []
     schema = ", ".join([f"`{h}` string" for h in header] + ["_corrupt string"])
     reader = spark.read.schema(schema).option("sep", sep).option("header", True).option("encoding", encoding)
-    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).option("emptyValue", "").csv(path)
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).option("columnPruning", False).option("emptyValue", "").csv(path)
     return df, header
 
 
@@ -107,7 +107,9 @@ def datetimes(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, nrows: int | None = None, sep: str | None = None, account_columns: tuple[str, ...] = ("Account", "Account.1"), encoding: str = "utf-8") -> DataFrame:
     """A robust scan: the delimiter is found if not given, lines of another width are dropped, account columns are normalised text, other columns become numbers or times by what they hold."""
     df, header = _raw(spark, path, sep or sniff(spark, path), encoding)
-    df = df.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    # The first column is looked at as well, though it never decides: a query over the corrupt lines alone, such as a count, isn't allowed.
+    head = F.col(f"`{header[0]}`") if header else F.lit("")
+    df = df.where(F.coalesce(F.col("_corrupt"), F.when(F.length(head) < 0, head)).isNull()).drop("_corrupt")
     if nrows is not None:
         df = df.limit(nrows)
     df = df.select(*[normal_id(F.col(f"`{c}`")).alias(c) if c in account_columns else F.col(f"`{c}`") for c in header])
@@ -155,7 +157,8 @@ def inspect_csv(spark: SparkSession, path: str, sep: str | None = None, encoding
     """Delimiter, lines, columns, rows of another width, and the profile of every column. strict raises on such rows."""
     sep = sep or sniff(spark, path)
     df, header = _raw(spark, path, sep, encoding)
-    row = df.agg(F.count("*").alias("n"), F.count("_corrupt").alias("bad")).first()
+    # The header's first column is in the query as well, since one over the corrupt lines alone isn't allowed.
+    row = df.agg(F.count("*").alias("n"), F.count("_corrupt").alias("bad"), F.max(F.col(f"`{header[0]}`"))).first() if header else {"n": 0, "bad": 0}
     if strict and row["bad"]:
         raise ValueError(f"{row['bad']} rows of another width")
     profile = column_profile(df, header).collect() if header else []
