@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import columns as cols
 from ledgerlens.operators import convert, evaluate, features, models, prep, profile
 from ledgerlens.plans.detection import _ACCOUNTS, _FEATURES
 from ledgerlens.plans.runs import build_features, ensemble_report, run_ensemble
@@ -341,3 +342,35 @@ def ensemble_report_full(tx):
 @query()
 def feature_matrix(tx):
     return build_features(tx)["tx_matrix"]
+
+
+@query(_SPACE + """, nk as (select account, d, row_number() over (partition by account order by d) as k from d), sc as (select account, round(avg(d), 6) as knn_score from nk where k <= 3 group by 1),
+top as (select account from sc order by knn_score desc, account limit 3) select account, knn_score, cast(account in (select account from top) as int) as knn_flag from sc""")
+def knn_top_flags(tx):
+    return models.top_flags(models.knn_scores(_points(tx), _POINTS, 3).select("account", "knn_score"), "knn_score", "knn_flag", 3)
+
+
+@query(" select * exclude payment_format, " + ", ".join(f"cast(lower(payment_format) = '{v}' as int) as \"PF_{v}\"" for v in ("2-high", "3-medium", "4-not specified", "5-low", "reinvestment")) + " from tx")
+def one_hot_drop_first(tx):
+    return features.one_hot(tx, "payment_format", "PF", drop_first=True)
+
+
+@query(_FEATURES + """ select account, account_1, ts, coalesce(cast(amount_paid as double), 0) as amount_paid, coalesce(amount_ratio, (select quantile_cont(amount_ratio, 0.5) from t)) as amount_ratio from t""")
+def drop_constant_fill(tx):
+    df = features.tx_features(tx).select("account", "account_1", "ts", "amount_paid", "amount_ratio", F.lit(1.0).alias("one"))
+    return prep.drop_constant_then_fill(df, ["amount_paid", "amount_ratio", "one"])
+
+
+@query(" select min(amount_paid)::double as min_paid, count(*) filter (payment_format is null or payment_format = '') as blank_formats from tx")
+def blank_recode(tx):
+    return cols.blanks_to_null(tx, ["payment_format"]).agg(F.min("amount_paid").cast("double").alias("min_paid"), F.count_if(F.col("payment_format").isNull()).alias("blank_formats"))
+
+
+@query()
+def sample_rows(tx):
+    return cols.sample_rows(tx, 1000)
+
+
+@query(" select 'SUMMARY' as section, 'used=2 excluded=3' as feature union all select 'FEATURE_USED', unnest(['amount_received', 'amount_paid']) union all select 'REQUESTED_BUT_EXCLUDED_NON_NUMERIC', unnest(['receiving_currency', 'payment_currency', 'payment_format'])")
+def feature_report(tx):
+    return cols.feature_report(tx)
