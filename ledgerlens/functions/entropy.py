@@ -1,40 +1,59 @@
-"""Binned Shannon entropy of a group's amounts.
+"""Binned Shannon entropy of each key's amounts.
 
-The amounts are cut at min(10, different amounts) quantiles, equal edges are merged, bins are closed on the right and the first on both
+A key's amounts are cut at min(10, different amounts) quantiles, equal edges are merged, bins are closed on the right and the first on both
 sides; the result is the entropy of the bins' shares in bits. Fewer than two amounts have entropy 0. The quantiles are interpolated in the same order
 of operations as numpy's, since edges often fall exactly on amounts.
+
+No key's amounts are gathered in memory: different amounts are counted first, running counts (in a window that spills) say which of them the quantiles fall
+on, at most 11 edges a key come back by a join, and the bins are counted in two steps.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BINS = 10
 
 
-def _edge(v: Column, i: Column, q: Column, n: Column) -> Column:
-    p = F.when(i == q, F.lit(1.0)).otherwise(i * (F.lit(1.0) / q) * 100 / 100)
-    h = p * (n - 1)
-    f = F.floor(h).cast("int")
-    low, high = F.get(v, f), F.get(v, F.least(f + 1, n - 1))
-    t = h - f
-    return F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (F.lit(1.0) - t))
-
-
-def binned_entropy(groups: DataFrame, sorted_values: str, out: str) -> DataFrame:
-    """groups with column out, from the sorted array<double> in sorted_values."""
-    v = F.col(sorted_values)
-    n = F.size(v)
-    q = F.least(F.lit(BINS), F.size(F.array_distinct(v))).cast("int")
-    edges = F.transform(F.sequence(F.lit(0), F.col("_q")), lambda i: _edge(v, i.cast("double"), F.col("_q").cast("double"), F.col("_n")))
-    below = F.transform(F.col("_edges"), lambda e: F.size(F.filter(v, lambda x: x <= e)))
-    held = F.transform(F.sequence(F.lit(1), F.size("_below") - 1), lambda j: F.when(j == 1, F.get("_below", j)).otherwise(F.get("_below", j) - F.get("_below", j - 1)))
-    total = F.aggregate(
-        "_held", F.lit(0.0), lambda s, k: s + F.when(k > 0, (k / F.col("_n")) * F.log2(k / F.col("_n"))).otherwise(0.0)
+def _place(i: Column, q: Column, n: Column) -> Column:
+    """Where quantile i of q stands among n sorted amounts, counted from 0."""
+    p = F.when(i == q, F.lit(1.0)).otherwise(i.cast("double") * (F.lit(1.0) / q.cast("double")) * 100 / 100)
+    return p * (n - 1).cast("double")
+
+
+def binned_entropy(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """(key, out) for every key of df, null keys and null amounts left out."""
+    rows = df.select(F.col(key), F.col(value).cast("double").alias("_x")).where(F.col(key).isNotNull())
+    counts = rows.where(F.col("_x").isNotNull()).groupBy(key, "_x").agg(F.count("*").alias("_k"))
+    whole = W.partitionBy(key)
+    ranked = counts.select(
+        key, "_x", "_k",
+        F.sum("_k").over(whole.orderBy("_x").rowsBetween(W.unboundedPreceding, 0)).alias("_upto"),
+        F.sum("_k").over(whole).alias("_n"),
+        F.least(F.lit(BINS), F.count("*").over(whole)).cast("int").alias("_q"),
+    )
+
+    def hit(i: Column) -> Column:
+        h = _place(i, F.col("_q"), F.col("_n"))
+        low = F.floor(h)
+        high = F.least(low + 1, F.col("_n") - 1)
+        before = F.col("_upto") - F.col("_k")
+        within = lambda at: (at >= before) & (at < F.col("_upto"))
+        return F.struct(i.alias("_i"), within(low).alias("low"), within(high).alias("high"), (h - low).alias("t"))
+
+    hits = F.filter(F.transform(F.sequence(F.lit(0), F.col("_q")), hit), lambda s: s["low"] | s["high"])
+    ends = ranked.select(key, "_x", F.explode(hits).alias("s")).groupBy(key, F.col("s._i").alias("_i")).agg(
+        F.max(F.when(F.col("s.low"), F.col("_x"))).alias("a"), F.max(F.when(F.col("s.high"), F.col("_x"))).alias("b"), F.max("s.t").alias("t")
     )
-    df = groups.withColumn("_n", n).withColumn("_q", q)
-    df = df.withColumn("_edges", F.array_distinct(edges)).withColumn("_below", below)
-    df = df.withColumn("_held", F.when(F.size("_below") > 1, held).otherwise(F.array().cast("array<int>")))
-    value = F.when(F.col("_n") < 2, 0.0).otherwise(F.lit(0.0) - total)
-    return df.withColumn(out, value + F.lit(0.0)).drop("_n", "_q", "_edges", "_below", "_held")
+    a, b, t = F.col("a"), F.col("b"), F.col("t")
+    edge = F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (F.lit(1.0) - t))
+    edges = ends.groupBy(key).agg(F.sort_array(F.collect_set(edge)).alias("_edges"))  # at most BINS + 1
+    at = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col("_x"))), F.lit(1))
+    held = counts.join(edges, key).groupBy(key, at.alias("_bin")).agg(F.sum("_k").alias("_k"))
+    total = held.groupBy(key).agg(F.sum("_k").cast("double").alias("n"), F.collect_list(F.col("_k").cast("double")).alias("ks"))
+    bits = F.aggregate(F.array_sort("ks"), F.lit(0.0), lambda s, k: s - (k / F.col("n")) * F.log2(k / F.col("n")))
+    found = total.select(F.col(key).alias("_key"), (bits + F.lit(0.0)).alias(out))
+    keys = rows.select(key).distinct()
+    return keys.join(found, F.col(key) == F.col("_key"), "left").select(key, F.coalesce(F.col(out), F.lit(0.0)).alias(out))

@@ -93,15 +93,15 @@ def clean_numeric(df: DataFrame) -> DataFrame:
 
 
 def _one_way(tx: DataFrame, account: str, other: str, amount: str, way: str, partners: str) -> DataFrame:
-    """All features of one direction from one shuffle by account: the pairs give partners and concentration, the amounts totals and entropy."""
+    """All features of one direction: totals, entropy of amounts, partners and their concentration, each by two-step aggregates over the account."""
     keyed = tx.dropna(subset=[account])
     money = keyed.groupBy(F.col(account).alias("account")).agg(
         F.count("*").alias(f"total_{way}_tx"),
         F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias(f"total_{way}_amt"),
         F.max(amount).cast("double").alias(f"max_{way}_amt"),
-        F.sort_array(F.collect_list(as_double(amount))).alias("_amounts"),
     )
-    money = binned_entropy(money, "_amounts", "_entropy").withColumn(f"entropy_{way}_amt", F.round("_entropy", 6)).drop("_amounts", "_entropy")
+    bits = binned_entropy(keyed.select(F.col(account).alias("account"), amount), "account", amount, "_entropy")
+    money = money.join(bits.withColumn(f"entropy_{way}_amt", F.round("_entropy", 6)).drop("_entropy"), "account")
     pairs = keyed.select(F.col(account).alias("account"), F.col(other).alias("partner")).groupBy("account", "partner").agg(F.count("*").alias("c"))
     c = F.col("c").cast("double")
     mixed = pairs.groupBy("account").agg(
