@@ -133,4 +133,5 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated."""
     bad = summaries(matches(docs, items, id_col, text_col)).where(is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = _side(written(bad, "contaminated"), F.lit(64))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_hash"]), "left_anti")

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import free_name, join_hot_aware, slices, written
+from ledgerlens.llm.common import BROADCAST_BYTES, free_name, join_hot_aware, slices, written
 from ledgerlens.llm.components import components
 
 #: A-Z to a-z.
@@ -109,9 +109,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay if one document of each component does: that with the smallest doc_id; of rows that repeat an id, one."""
-    near = near_duplicates(docs, id_col, text_col)
-    stay = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_stays"]), "left_semi")
+    near = written(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "near")
+    found = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_stays")).agg(F.count("*").alias("n"))
+    stay = written(found, "stay")
+    held = stay.agg(F.count("*").alias("ids"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
+    side = stay.select("_stays")
+    if held["ids"] * 64 <= BROADCAST_BYTES:
+        side = F.broadcast(side)
+    kept = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["_stays"]), "left_semi")
+    if held["most"] == 1:  # no id that stays is repeated
+        return kept
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
     name = free_name(docs, "_rank")
     return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name)
