@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import as_double, kurtosis, quantile, share, skewness
+from ledgerlens.functions.numeric import as_double, kurtosis, quantile, quantiles, share, skewness
 from ledgerlens.functions.ranks import ranked_values
 from ledgerlens.operators.prep import numeric_columns
 
@@ -131,6 +131,9 @@ def encoding_hints(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return found.select("column", "n_unique", hint.alias("hint"))
 
 
+PERCENTS = (1, 5, 50, 95, 99)
+
+
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n, mean, std, min, p01..p99, max, skew, kurtosis)."""
     columns = columns or numeric_columns(df)
@@ -142,7 +145,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
             F.round(F.avg(x), 6).alias("mean"),
             F.round(F.stddev_samp(x), 6).alias("std"),
             F.min(x).alias("min"),
-            *[F.round(quantile(x, p / 100), 6).alias(f"p{p:02d}") for p in (1, 5, 50, 95, 99)],
+            *[F.round(q, 6).alias(f"p{p:02d}") for p, q in zip(PERCENTS, quantiles(x, [p / 100 for p in PERCENTS]), strict=True)],
             F.max(x).alias("max"),
             F.round(skewness(x), 6).alias("skew"),
             F.round(kurtosis(x), 6).alias("kurtosis"),
@@ -239,19 +242,20 @@ def univariate_numeric(df: DataFrame, column: str, factor: float = 1.5, z: float
     width = q[2] - q[0]
     outside = F.count_if((x < q[0] - factor * width) | (x > q[2] + factor * width)) if width > 0 else F.lit(0)
     far = F.count_if(F.abs(x - F.lit(m)) / F.lit(s) > z) if s > 0 else F.lit(0)
+    cuts = dict(zip((1, 5, 25, 50, 75, 95, 99), quantiles(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]), strict=True))
     named = {
         "count": F.count(x),
         "missing": F.count_if(x.isNull()),
         "unique": F.count_distinct(x),
         "min": F.min(x),
-        **{f"q{p:02d}": quantile(x, p / 100) for p in (1, 5, 25)},
-        "median": quantile(x, 0.5),
-        **{f"q{p:02d}": quantile(x, p / 100) for p in (75, 95, 99)},
+        **{f"q{p:02d}": cuts[p] for p in (1, 5, 25)},
+        "median": cuts[50],
+        **{f"q{p:02d}": cuts[p] for p in (75, 95, 99)},
         "max": F.max(x),
         "mean": F.avg(x),
         "std": F.stddev_samp(x),
         "mad": quantile(F.abs(x - F.lit(q[1])), 0.5),
-        "iqr": quantile(x, 0.75) - quantile(x, 0.25),
+        "iqr": cuts[75] - cuts[25],
         "skew": skewness(x),
         "kurtosis": kurtosis(x),
         "zeros": F.count_if(x == 0),
