@@ -332,6 +332,16 @@ def test_chain_is_the_best_by_quadratic_search():
             assert all(own[x] < own[y] and other[x] < other[y] for x, y in zip(c, c[1:], strict=False))
 
 
+def test_a_loose_chain_is_cut_into_its_alike_parts(spark):
+    rng = random.Random(11)
+    parts = [prose(rng, 55) for _ in range(10)]
+    texts = [(0, " ".join(parts)), (1, " ".join(f"{p} {prose(rng, 20, 'hijklmn')}" for p in parts))]
+    found = substring.passages(documents(spark, texts)).collect()
+    held = {w for r in found for w in range(r["start_word"], r["end_word"])}
+    assert {75 * k + w for k in range(10) for w in range(55)} <= held
+    assert all(r["matched_words"] >= 0.8 * (r["end_word"] - r["start_word"]) and r["source_doc_id"] == 0 for r in found)
+
+
 # Toxicity
 
 
