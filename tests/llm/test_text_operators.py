@@ -332,6 +332,40 @@ def test_chain_is_the_best_by_quadratic_search():
             assert all(own[x] < own[y] and other[x] < other[y] for x, y in zip(c, c[1:], strict=False))
 
 
+def slow_repeats(texts):
+    """Words of each document in runs of MIN_WORDS words that an earlier document has as well."""
+    n, first, out = substring.MIN_WORDS, {}, defaultdict(set)
+    for i, t in texts:
+        words = t.lower().split()
+        for k in range(len(words) - n + 1):
+            if first.setdefault(tuple(words[k : k + n]), i) != i:
+                out[i].update(range(k, k + n))
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_no_exact_repeat_is_lost_if_its_parts_stand_elsewhere_first(spark, times):
+    rng, texts = random.Random(17), []
+    for _ in range(6):
+        a, b, c = (prose(rng, n) for n in (40, 40, 25))
+        for _ in range(times):  # the parts are first in documents of their own
+            texts += [f"{prose(rng, 30)} {p} {prose(rng, 30)}" for p in (a, b, c, f"{a} {c}", f"{c} {b}")]
+        texts += [f"{prose(rng, 20)} {p} {prose(rng, 20)}" for p in (f"{a} {b}", f"{b} {c} {a}", a, b, f"{a} {b}", f"{b} {c} {a}")]
+    texts = list(enumerate(texts))
+    found = substring.passages(documents(spark, texts)).collect()
+    words = [t.split() for _, t in texts]
+    for r in found:
+        assert r["source_doc_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50
+        if r["matched_words"] == r["end_word"] - r["start_word"] == r["source_end"] - r["source_start"]:
+            assert words[r["doc_id"]][r["start_word"] : r["end_word"]] == words[r["source_doc_id"]][r["source_start"] : r["source_end"]]
+    held = defaultdict(set)
+    for r in found:
+        held[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    wanted = slow_repeats(texts)
+    lost = {i: w - held[i] for i, w in wanted.items()}
+    assert len(wanted) >= 12 and not any(set(range(k, k + substring.K)) <= w for w in lost.values() for k in w)
+
+
 def test_a_loose_chain_is_cut_into_its_alike_parts(spark):
     rng = random.Random(11)
     parts = [prose(rng, 55) for _ in range(10)]
