@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import BROADCAST_BYTES, free_name, join_hot_aware, slices, written
@@ -93,23 +93,26 @@ def links(classes: DataFrame) -> DataFrame:
     ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row per row of docs."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, component_id, root), a row per row of docs; root is a fingerprint that stands for the component."""
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     roots = components(links(classes), "a", "b")
     of_class = classes.join(roots, classes["fp"] == roots["vertex"], "left").select("fp", "least", "n", "root")
     of_root = of_class.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component"))
-    known = of_class.join(of_root, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n")
-    return join_hot_aware(marked, known, "fp", "n", total, "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    known = of_class.join(of_root, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n")
+    return join_hot_aware(marked, known, "fp", "n", total, "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row per row of docs."""
+    return _components(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay if one document of each component does: that with the smallest doc_id; of rows that repeat an id, one."""
-    near = written(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "near")
+    """The rows of docs that stay if one row of each component does: that with the smallest doc_id; of rows that repeat the id, that with the smallest fingerprint and text."""
+    near = written(_components(docs, id_col, text_col).select("doc_id", "fp", "component_id", "root"), "near")
     found = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_stays")).agg(F.count("*").alias("n"))
     stay = written(found, "stay")
     held = stay.agg(F.count("*").alias("ids"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
@@ -119,9 +122,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["_stays"]), "left_semi")
     if held["most"] == 1:  # no id that stays is repeated
         return kept
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    name = free_name(docs, "_rank")
-    return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name)
+    at = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    rows = written(near.groupBy("root").agg(F.min(at).alias("at")).select(F.col("at.doc_id").alias("_stays"), F.col("at.fp").alias("_fp")), "rows")
+    marker = F.udf(lambda t: fingerprint(t) - (1 << 64) * (fingerprint(t) >> 63), "long", useArrow=True)
+    print_col = free_name(docs, "_print")
+    printed = kept.withColumn(print_col, marker(F.col(text_col).cast("string").cast("binary")))
+    side = F.broadcast(rows) if rows.count() * 64 <= BROADCAST_BYTES else rows
+    ours = printed.join(side, (F.col(print_col) == side["_fp"]) & F.col(id_col).cast("long").eqNullSafe(side["_stays"]), "left_semi")
+    row = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row")
+    return ours.groupBy(F.col(id_col).alias("_id"), F.col(print_col).alias("_fp")).agg(row).select("row.*")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

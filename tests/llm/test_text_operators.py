@@ -83,6 +83,14 @@ def test_keep_one_keeps_one_of_each_component(spark):
     assert simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (5, c), (9, d)]
+    kept = simhash.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted([(-1, a), (-1, b), (5, c), (5, d)])
+
+
 # Quality
 
 
