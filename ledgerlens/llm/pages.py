@@ -40,7 +40,7 @@ PART = re.compile(
     r"|<[a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
@@ -89,7 +89,7 @@ def _attributes(rest: str) -> tuple[list[str], str, str, bool]:
             name = value
         elif key == "role":
             role = value
-        else:
+        elif key == "hidden":
             hidden = True
     return classes, name, role, hidden
 

@@ -272,6 +272,12 @@ def test_main_text_of_pages(spark):
     assert {tuple(r["paths"]) for r in pages.winning_paths(df).where("host = 'a.example'").collect()} == {("body.home/div/div.post-#".replace("body.home", "body"),)}
 
 
+@pytest.mark.parametrize("given", ['aria-hidden="false"', 'title="a hidden place"', 'data-id="menu"', "data-role=menu x='id=menu'"])
+def test_attributes_are_whole_names(given):
+    assert pages._attributes(f" {given} class='a b' ID=c") == (["a", "b"], "c", "", False)
+    assert pages._attributes(f" {given} hidden/")[3] and pages._attributes(" hidden")[3] and pages._attributes(' hidden="" role="menu"')[2:] == ("menu", True)
+
+
 def test_archive_round_trip(spark):
     big = "é" * 80
     rows = [(3, "u", big), (1, "u\r\nX: y", big), (2, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big + "!"), (7, "u", big)]
