@@ -53,7 +53,7 @@ STAGES = [
     ("bpe_encoding", encoding),
 ]
 
-#: SQL has no near-duplicate fingerprints, chains or merges; tests hold the pipeline against a brute-force version.
+#: SQL has no near-duplicate fingerprints, chains or merges; tests hold stages against brute-force versions, and of the whole pipeline the ids that stay on a small fixture.
 ORACLE_SQL = None
 
 
