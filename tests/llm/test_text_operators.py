@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from ledgerlens.llm import bpe, chat, decontaminate, licenses, pages, quality, simhash, substring, toxicity, warc
@@ -330,20 +331,39 @@ def test_passages_that_repeat_are_found_and_cut(spark):
 
 
 def test_chain_is_the_best_by_quadratic_search():
-    import numpy as np
-
     rng = random.Random(1)
-    for _ in range(40):
-        pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
-        own, other = (np.array([p[k] for p in pairs]) for k in (0, 1))
-        score = []
-        for i, (a, b) in enumerate(pairs):
-            before = [score[j] - substring.GAP * (a - pairs[j][0] + b - pairs[j][1]) for j in range(i) if pairs[j][0] < a and pairs[j][1] < b]
-            score.append(substring.K + max([0.0, *before]))
-        first = substring.chain(own, other)
-        if first and max(score) > 2 * substring.K - 1:
-            c = max(first, key=len)
-            assert all(own[x] < own[y] and other[x] < other[y] for x, y in zip(c, c[1:], strict=False))
+    several = 0
+    for _ in range(200):
+        # few diagonals and short steps, so that chains of several segments win and ties occur
+        found = sorted({(rng.randrange(80), rng.randrange(80), rng.choice([5, 5, 9, 14])) for _ in range(rng.randrange(1, 20))})
+        rows = np.array([(*f, 2) for f in found])
+        behind = lambda p, q: p[0] + p[2] - substring.K < q[0] and p[1] + p[2] - substring.K < q[1]
+        gap = lambda p, q: substring.GAP * (q[0] - p[0] - p[2] + q[1] - p[1] - p[2] + 2 * substring.K)
+        best: list[float] = []
+        for i, q in enumerate(found):
+            best.append(q[2] + max([0.0, *(best[j] - gap(p, q) for j, p in enumerate(found[:i]) if behind(p, q))]))
+        lines = substring.chain(rows)
+        assert sorted(k for c in lines for k in c) == list(range(len(found)))
+        scores = []
+        for c in lines:
+            part = [found[k] for k in c]
+            assert all(behind(p, q) for p, q in zip(part, part[1:], strict=False))
+            scores.append(sum(p[2] for p in part) - sum(gap(p, q) for p, q in zip(part, part[1:], strict=False)))
+        reach = substring.LONGEST_GAP + substring.K
+        whole = max(best)
+        if max(max(f[0] for f in found) - min(f[0] for f in found), max(f[1] for f in found) - min(f[1] for f in found)) <= reach:
+            assert abs(scores[0] - whole) < 1e-9
+        assert max(scores) <= whole + 1e-9
+        if abs(scores[0] - whole) < 1e-9 and len(lines[0]) > 1:
+            several += 1
+    assert several > 20
+
+
+def test_segments_are_the_runs_along_diagonals():
+    own, other = np.array([0, 3, 60, 7, 200, 45]), np.array([10, 13, 70, 17, 5, 55])
+    got = substring.segments(own, other).tolist()
+    assert sorted(got) == [[0, 10, 12, 3], [45, 55, 20, 2], [200, 5, 5, 1]]
+    assert substring.segments(own[:2], other[:2], np.array([50, 5])).tolist() == [[0, 10, 50, 2]]
 
 
 def slow_repeats(texts):
