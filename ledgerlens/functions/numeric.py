@@ -11,16 +11,10 @@ def as_double(x: Column | str) -> Column:
 
 
 def quantile(x: Column | str, p: float) -> Column:
-    """Exact quantile with linear interpolation."""
+    """Exact quantile with linear interpolation, for counts, lengths and the like: the aggregate holds each different value. exact_quantiles is for amounts."""
     return F.percentile(x, F.lit(p))
 
 
-def quantiles(x: Column | str, ps: list[float]) -> list[Column]:
-    """Several exact quantiles from one aggregate."""
-    every = F.percentile(x, F.array(*[F.lit(p) for p in ps]))
-    return [F.get(every, F.lit(i)) for i in range(len(ps))]
-
-
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.storage import stored
+
 
 def account_edges(tx: DataFrame) -> DataFrame:
     """Directed edges with their transactions; self-loops stay."""
@@ -69,7 +69,7 @@ def undirected_edges(tx: DataFrame, preference: str = "paid") -> DataFrame:
 def ego_ball(tx: DataFrame, ego: str, k: int = 1) -> DataFrame:
     """(id): accounts within k steps of ego, itself included; empty if ego has no transaction with another account.
 
-    Each step joins the frontier with the edges and leaves out what was reached before; every third step is checkpointed where a folder for that is set.
+    Each step joins the frontier with the edges and leaves out what was reached before; every third step is a table of the shared folder.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -82,11 +82,7 @@ def ego_ball(tx: DataFrame, ego: str, k: int = 1) -> DataFrame:
         reached = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
         frontier = reached.join(seen, "id", "left_anti")
         if step % 3 == 2 and step + 1 < k:
-            folder = tx.sparkSession.conf.get("spark.checkpoint.dir", None)
-            if folder:
-                path = f"{folder.rstrip('/')}/ledgerlens/frontier-{uuid.uuid4().hex}"
-                frontier.write.parquet(path)
-                frontier = tx.sparkSession.read.schema("id string").parquet(path)
+            frontier = stored(frontier, "frontier")
         seen = seen.union(frontier)
     return seen
 
@@ -97,7 +93,7 @@ def ego_nodes(tx: DataFrame, ego: str, k: int = 1) -> DataFrame:
 
 def ego_edges(tx: DataFrame, ego: str, k: int = 1, preference: str = "paid", alters: bool = True) -> DataFrame:
     """Edges with both ends in the ball; without alters, only those at ego."""
-    ball = ego_ball(tx, ego, k)
+    ball = stored(ego_ball(tx, ego, k), "ball")  # read for both ends
     rows = tx.join(ball.select(F.col("id").alias("account")), "account", "left_semi").join(
         ball.select(F.col("id").alias("account_1")), "account_1", "left_semi"
     )

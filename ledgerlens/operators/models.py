@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -13,16 +12,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.neighbours import neighbours
-from ledgerlens.functions.numeric import as_double, quantile, skewness
+from ledgerlens.functions.numeric import as_double, skewness
+from ledgerlens.functions.quantiles import exact_quantiles
 from ledgerlens.functions.ranks import ranked_values
+from ledgerlens.functions.storage import stored
 
 DETECTORS = ("iforest", "lof", "copod")
 
 
 def flagged(scores: DataFrame, score: str, flag: str, contamination: float) -> DataFrame:
     """scores with flag 1 above the percentile that leaves the contamination's share."""
-    limit = scores.agg(quantile(score, 1 - contamination).alias("_limit"))
-    return scores.crossJoin(F.broadcast(limit)).withColumn(flag, (F.col(score) > F.col("_limit")).cast("int")).drop("_limit")
+    limit = exact_quantiles(scores, {score: F.col(score)}, [1 - contamination])[score][0]
+    return scores.withColumn(flag, (F.col(score) > F.lit(limit)).cast("int"))
 
 
 def copod_scores(df: DataFrame, columns: list[str], score: str = "copod_score") -> DataFrame:
@@ -67,13 +68,8 @@ def knn_scores(df: DataFrame, columns: list[str], k: int = 3, score: str = "knn_
 
 def lof_scores(df: DataFrame, columns: list[str], k: int = 20, score: str = "lof_score") -> DataFrame:
     """Local outlier factor over the k nearest other rows."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     base = neighbours(df, columns, k + 1).select("key", _expanded(F.col("near"), True, k).alias("near"))
-    base = base.withColumn("reach", F.get("near", F.size("near") - 1)["d"])
-    if folder:  # the neighbours are used three times
-        path = f"{folder.rstrip('/')}/ledgerlens/neighbours-{uuid.uuid4().hex}"
-        base.write.parquet(path)
-        base = df.sparkSession.read.schema(base.schema).parquet(path)
+    base = stored(base.withColumn("reach", F.get("near", F.size("near") - 1)["d"]), "neighbours")  # used three times
     pairs = base.select("key", F.explode("near").alias("p")).select("key", F.col("p.d").alias("d"), F.col("p.key").alias("other"))
     reach = base.select(F.col("key").alias("other"), "reach")
     dense = pairs.join(reach, "other").groupBy("key").agg((1.0 / (F.avg(F.greatest("d", "reach")) + 1e-10)).alias("lrd"))
@@ -126,24 +122,14 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, least: int) -> DataFra
 
 
 def _least_reached(vertices: DataFrame, links: DataFrame, most: int = 100) -> DataFrame:
-    """(_key, root): the smallest vertex that links reach, by passing on minima until nothing changes. Rounds are checkpointed in the shared folder where one is set."""
-    spark = vertices.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-
-    def kept(df):
-        if not folder:
-            return df.cache()
-        path = f"{folder.rstrip('/')}/ledgerlens/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    links = kept(links)
-    label = kept(vertices.select("_key", F.col("_key").alias("root")))
+    """(_key, root): the smallest vertex that links reach, by passing on minima until nothing changes. Rounds are tables of the shared folder."""
+    links = stored(links, "links")
+    label = stored(vertices.select("_key", F.col("_key").alias("root")), "labels")
     for _ in range(most):
         passed = links.join(label.select(F.col("_key").alias("other"), "root"), "other").groupBy("_key").agg(F.min("root").alias("there"))
         better = label.join(passed, "_key", "left").select("_key", F.least("root", F.coalesce("there", "root")).alias("root"))
         jump = better.join(better.select(F.col("_key").alias("root"), F.col("root").alias("next")), "root").select("_key", F.col("next").alias("root"))
-        now = kept(jump)
+        now = stored(jump, "labels")
         changed = now.join(label.withColumnRenamed("root", "was"), "_key").where(F.col("was") != F.col("root")).limit(1).count()
         label = now
         if not changed:

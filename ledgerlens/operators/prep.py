@@ -1,6 +1,6 @@
 """From features to a model matrix: logs, imputation, constant columns, scaling.
 
-Everything data-dependent (medians, quartiles, constants) is found in two aggregate passes that return one row each; the matrix itself is one
+Everything data-dependent (medians, quartiles, constants) is found in passes that return a few numbers each; the matrix itself is one
 projection. Quantiles are exact.
 """
 
@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import as_double, quantile, signed_log
+from ledgerlens.functions.numeric import as_double, signed_log
+from ledgerlens.functions.quantiles import exact_quantiles
 
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float", "decimal")
 
@@ -22,16 +23,17 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 @dataclass
 class MatrixConfig:
-    """The defaults keep the label out, take signed logs of net flow and keep time columns; `legacy` is the older behaviour."""
+    """The defaults keep the label out, derive the time features, take signed logs of net flow and scale; `legacy` is the older behaviour."""
 
     exclude: tuple[str, ...] = ("account", "account_1", "from_bank", "to_bank", "is_laundering")
-    missing_flags: tuple[str, ...] = ("amount_ratio", "total_out_amt", "total_in_amt", "entropy_out_amt", "entropy_in_amt", "net_flow_amt")
+    missing_flags: tuple[str, ...] = ("entropy_out_amt", "entropy_in_amt", "hhi_out", "hhi_in", "unique_receivers", "unique_senders")
     logs: tuple[str, ...] = ("amount_paid", "amount_received", "total_out_amt", "total_in_amt", "max_out_amt", "max_in_amt")
     signed_logs: tuple[str, ...] = ("net_flow_amt",)
     zero_if_named: tuple[str, ...] = ("entropy", "hhi", "unique_")
     always_keep: tuple[str, ...] = ("weekday_of_transaction", "hour_of_transaction")
     drop_constant: bool = True
-    scale: bool = False
+    scale: bool = True
+    time_from: str | None = "ts"
     keep: tuple[str, ...] = field(default=())
 
     @classmethod
@@ -43,19 +45,25 @@ class MatrixConfig:
             signed_logs=(),
             zero_if_named=("entropy", "hhi"),
             drop_constant=False,
-            scale=True,
+            time_from=None,
         )
 
 
 def pre_model(df: DataFrame, config: MatrixConfig | None = None) -> DataFrame:
     """The numeric matrix of df, with the columns config.keep in front as they are."""
     cfg = config or MatrixConfig()
+    if cfg.time_from in df.columns:
+        ts = F.col(cfg.time_from)
+        for c, value in (("weekday_of_transaction", F.weekday(ts)), ("hour_of_transaction", F.hour(ts))):
+            if c not in df.columns:
+                df = df.withColumn(c, value)
     names = [c for c in numeric_columns(df) if c not in cfg.exclude and c not in cfg.keep]
     x: dict[str, Column] = {}
     for c in names:
         value = as_double(c)
         if c in cfg.missing_flags:
-            x[f"{c}_missing"] = value.isNull().cast("double")
+            x[f"{c}_missing"] = (value.isNull() | F.isnan(value)).cast("double")
+        value = F.when(F.abs(value) < float("inf"), value)
         if c in cfg.logs:
             value = F.log1p(F.when(value < 0, 0.0).otherwise(value))
         elif c in cfg.signed_logs:
@@ -64,14 +72,10 @@ def pre_model(df: DataFrame, config: MatrixConfig | None = None) -> DataFrame:
     if not x:
         return df.select(*cfg.keep)
     raw = df.select(*cfg.keep, *[v.alias(k) for k, v in x.items()])
-    medians = raw.agg(*[quantile(k, 0.5).alias(k) for k in x]).first()
-    filled = raw.select(
-        *cfg.keep,
-        *[
-            F.coalesce(k, F.lit(0.0 if any(z in k for z in cfg.zero_if_named) else float(medians[k] if medians[k] is not None else 0.0))).alias(k)
-            for k in x
-        ],
-    )
+    zero = {k for k in x if any(z in k for z in cfg.zero_if_named)}
+    gaps = raw.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in x]).first()
+    medians = exact_quantiles(raw, {k: F.col(k) for k in x if k not in zero and gaps[k]}, [0.5])
+    filled = raw.select(*cfg.keep, *[F.coalesce(k, F.lit(float(medians[k][0] or 0.0) if k in medians else 0.0)).alias(k) for k in x])
     kept = list(x)
     if cfg.drop_constant:
         low_high = filled.agg(*[F.min(k).alias(f"a_{k}") for k in x], *[F.max(k).alias(f"b_{k}") for k in x]).first()
@@ -82,10 +86,10 @@ def pre_model(df: DataFrame, config: MatrixConfig | None = None) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / (q75 - q25), by exact quantiles; no spread counts as 1."""
-    facts = df.agg(*[F.percentile(as_double(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    facts = exact_quantiles(df, {c: as_double(c) for c in columns}, [0.25, 0.5, 0.75])
     out = []
     for c in df.columns:
-        if c in columns and facts[c] is not None:
+        if c in columns and facts[c][0] is not None:
             a, m, b = facts[c]
             out.append(((as_double(c) - F.lit(m)) / F.lit((b - a) or 1.0)).alias(c))
         else:
@@ -107,17 +111,16 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_constant_then_fill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Without the columns that hold one value (null counts as one), nulls of the others by their median."""
-    facts = df.agg(
-        *[F.struct(F.min(as_double(c)), F.max(as_double(c)), F.count(c), F.count("*"), quantile(as_double(c), 0.5)).alias(c) for c in columns]
-    ).first()
+    facts = df.agg(*[F.struct(F.min(as_double(c)), F.max(as_double(c)), F.count(c), F.count("*")).alias(c) for c in columns]).first()
+    medians = exact_quantiles(df, {c: as_double(c) for c in columns if facts[c][2] < facts[c][3]}, [0.5])
     out = []
     for c in df.columns:
         if c not in columns:
             out.append(F.col(c))
             continue
-        low, high, n, total, median = facts[c]
+        low, high, n, total = facts[c]
         if n and (low != high or n < total):
-            out.append(F.coalesce(as_double(c), F.lit(float(median))).alias(c))
+            out.append(F.coalesce(as_double(c), F.lit(float(medians[c][0]) if c in medians else 0.0)).alias(c))
     return df.select(*out)
 
 

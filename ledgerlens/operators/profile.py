@@ -9,11 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import as_double, kurtosis, quantile, quantiles, share, skewness
+from ledgerlens.functions.numeric import as_double, kurtosis, quantile, share, skewness
+from ledgerlens.functions.quantiles import exact_quantiles
 from ledgerlens.functions.ranks import ranked_values
 from ledgerlens.operators.prep import numeric_columns
 
-_ID_NAME = re.compile(r"(^|[_ ])(id|uuid|guid|key|account|iban|number|no)($|[_ ])", re.I)
+#: Fixed value: the words that make a column's name that of an id.
+_ID_NAME = re.compile(r"(?:^|[_\s])(?:id|uuid|guid|iban|account|acct|customer|client|transaction|tx)(?:$|[_\s])", re.I)
+#: Share of different values from which a column that isn't a number, time or truth value is taken for an id.
+ID_SHARE = 0.98
+
+
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def per_column(df: DataFrame, columns: list[str], facts) -> DataFrame:
@@ -26,7 +34,7 @@ def per_column(df: DataFrame, columns: list[str], facts) -> DataFrame:
 
 
 def roles(df: DataFrame) -> DataFrame:
-    """(column, role, is_constant, is_id_like): id-like columns aren't numbers and nearly all different, or named like ids."""
+    """(column, role, is_constant, is_id_like): id-like columns are categorical, and of their given values nearly all are different, or they are named like ids."""
     kinds = dict(df.dtypes)
 
     def role(c: str) -> str:
@@ -37,13 +45,13 @@ def roles(df: DataFrame) -> DataFrame:
             return "datetime"
         return "numeric" if c in numeric_columns(df) else "categorical"
 
-    found = per_column(df, df.columns, lambda c: [F.count_distinct(F.col(c)).alias("n_unique"), F.count("*").alias("n"), F.lit(role(c)).alias("role"), F.lit(bool(_ID_NAME.search(c))).alias("named")])
-    almost = F.col("n_unique") >= F.lit(0.98) * F.col("n")
+    found = per_column(df, df.columns, lambda c: [F.count_distinct(column(c)).alias("n_unique"), F.count(column(c)).alias("n"), F.lit(role(c)).alias("role"), F.lit(bool(_ID_NAME.search(c))).alias("named")])
+    almost = F.col("n_unique") >= F.lit(ID_SHARE) * F.col("n")
     return found.select(
         "column",
         "role",
         (F.col("n_unique") <= 1).alias("is_constant"),
-        ((F.col("role") != "numeric") & (almost | F.col("named")) & (F.col("n") > 0)).alias("is_id_like"),
+        ((F.col("role") == "categorical") & (almost | F.col("named")) & (F.col("n") > 0)).alias("is_id_like"),
     )
 
 
@@ -63,72 +71,108 @@ def missingness(df: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("missing_ratio"), F.desc("missing_count"), "column")
 
 
+def _finite(c: str) -> Column:
+    """A column's numbers; infinities and NaN count as missing."""
+    x = as_double(column(c))
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _outliers(df: DataFrame, columns: list[str], method: str, least: int, rule) -> DataFrame:
+    """rule(c) gives low, high, centre and scale of a column, each a number or None, and the test of an outlier or None."""
+    empty = F.lit(None).cast("double")
+
+    def facts(c):
+        *bounds, out = rule(c)
+        return [
+            F.lit(method).alias("method"),
+            F.count(column(c)).alias("nonnull"),
+            (F.count_if(out) if out is not None else F.lit(0).cast("long")).alias("outlier_count"),
+            *[(empty if v is None else F.round(F.lit(float(v)), 6)).alias(n) for n, v in zip(("bound_lo", "bound_hi", "mad_center", "mad_scale"), bounds, strict=True)],
+            F.min(as_double(column(c))).alias("min"),
+            F.max(as_double(column(c))).alias("max"),
+        ]
+
+    found = per_column(df, columns, facts).where(F.col("nonnull") >= least)
+    ratio = share(F.col("outlier_count"), F.col("nonnull")).alias("outlier_ratio")
+    return found.select(*found.columns[:4], ratio, *found.columns[4:]).orderBy(F.desc("outlier_ratio"), "column")
+
+
 def outliers_iqr(df: DataFrame, columns: list[str] | None = None, k: float = 1.5, least: int = 30) -> DataFrame:
-    """(column, n, low, high, n_outliers, ratio) by quartile fences; without spread the bounds are the quartiles and nothing is out."""
+    """(column, method, nonnull, outlier_count, outlier_ratio, bound_lo, bound_hi, mad_center, mad_scale, min, max) by quartile fences; without spread the bounds are the quartiles and nothing is out."""
     columns = columns or numeric_columns(df)
-    row = df.agg(*[F.struct(quantile(as_double(c), 0.25).alias("a"), quantile(as_double(c), 0.75).alias("b")).alias(c) for c in columns]).first()
-    bounds = {c: (row[c]["a"], row[c]["b"]) for c in columns if row[c]["a"] is not None}
+    quartiles = exact_quantiles(df, {c: _finite(c) for c in columns}, [0.25, 0.75])
 
-    def facts(c):
-        a, b = bounds[c]
-        width = b - a
-        low, high = F.lit(float(a - k * width)), F.lit(float(b + k * width))
-        out = F.count_if((as_double(c) < low) | (as_double(c) > high)) if width > 0 else F.lit(0).cast("long")
-        return [F.count(c).alias("n"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), out.alias("n_outliers")]
+    def rule(c):
+        a, b = quartiles[c]
+        if a is None or a == b:
+            return a, b, None, None, None
+        low, high = a - k * (b - a), b + k * (b - a)
+        return low, high, None, None, (as_double(column(c)) < low) | (as_double(column(c)) > high)
 
-    found = per_column(df, [*bounds], facts).where(F.col("n") >= least)
-    return found.withColumn("ratio", share(F.col("n_outliers"), F.col("n"))).orderBy(F.desc("ratio"), "column")
+    return _outliers(df, columns, f"IQR(k={k})", least, rule)
 
 
 def outliers_mad(df: DataFrame, columns: list[str] | None = None, limit: float = 3.5, least: int = 30) -> DataFrame:
-    """(column, n, median, mad, n_outliers, ratio): outliers have 0.6745 * |x - median| / MAD above the limit."""
+    """The same columns: outliers have 0.6745 * |x - median| / MAD above the limit; without spread nothing is out."""
     columns = columns or numeric_columns(df)
-    row = df.agg(*[quantile(as_double(c), 0.5).alias(c) for c in columns]).first()
-    medians = {c: float(row[c]) for c in columns if row[c] is not None}
-    spread = df.agg(*[quantile(F.abs(as_double(c) - F.lit(m)), 0.5).alias(c) for c, m in medians.items()]).first()
+    medians = {c: q[0] for c, q in exact_quantiles(df, {c: _finite(c) for c in columns}, [0.5]).items()}
+    spread = exact_quantiles(df, {c: F.abs(_finite(c) - F.lit(m)) for c, m in medians.items() if m is not None}, [0.5])
+
+    def rule(c):
+        m, d = medians[c], spread.get(c, [None])[0]
+        return None, None, m, d, F.abs(F.lit(0.6745) * (as_double(column(c)) - F.lit(m)) / F.lit(d)) > limit if d else None
+
+    return _outliers(df, columns, f"MAD(z>{limit})", least, rule)
 
-    def facts(c):
-        m, d = medians[c], float(spread[c])
-        out = F.count_if(F.abs(as_double(c) - F.lit(m)) * 0.6745 / F.lit(d) > limit) if d > 0 else F.lit(0).cast("long")
-        return [F.count(c).alias("n"), F.round(F.lit(m), 6).alias("median"), F.round(F.lit(d), 6).alias("mad"), out.alias("n_outliers")]
 
-    found = per_column(df, [*medians], facts).where(F.col("n") >= least)
-    return found.withColumn("ratio", share(F.col("n_outliers"), F.col("n"))).orderBy(F.desc("ratio"), "column")
+#: From so far apart, p99 to p01, a column should be scaled; from so much skew, by quartiles or logs.
+WIDE, SKEWED = 1000, 1.0
 
 
 def scaling_hints(df: DataFrame, columns: list[str] | None = None, least: int = 10) -> DataFrame:
-    """(column, n, skew, p01, p99, wide_range, log1p_candidate, hint) for numbers."""
+    """(column, suggest_scale, suggest_robust_scaler, suggest_log1p, skew, p01, p99, rationale) of numeric columns with so many values at least."""
     columns = columns or numeric_columns(df)
+    ends = exact_quantiles(df, {c: _finite(c) for c in columns}, [0.01, 0.99])
 
     def facts(c):
-        x = as_double(c)
-        return [
-            F.count(c).alias("n"),
-            F.round(skewness(x), 6).alias("skew"),
-            F.round(quantile(x, 0.01), 6).alias("p01"),
-            F.round(quantile(x, 0.99), 6).alias("p99"),
-            F.min(x).alias("_min"),
-        ]
+        x = _finite(c)
+        low, high = (F.lit(v).cast("double") for v in ends[c])
+        return [F.count(x).alias("n"), skewness(x).alias("skew"), low.alias("p01"), high.alias("p99"), F.min(x).alias("least")]
 
     found = per_column(df, columns, facts).where(F.col("n") >= least)
-    wide = F.coalesce(F.try_divide(F.col("p99"), F.when(F.col("p01") > 0, F.col("p01"))) >= 1000, F.lit(False))
-    log = F.coalesce((F.col("_min") >= 0) & (F.abs("skew") >= 1), F.lit(False))
-    hint = F.when(log, "log1p then scale").when(wide, "robust scale").when(F.abs("skew") >= 1, "robust scale").otherwise("standard scale")
-    return found.select("column", "n", "skew", "p01", "p99", wide.alias("wide_range"), log.alias("log1p_candidate"), hint.alias("hint"))
+    ratio = F.abs("p99") / F.greatest(F.abs("p01"), F.lit(1e-12))
+    wide, skewed = ratio >= WIDE, F.coalesce(F.abs("skew") >= SKEWED, F.lit(False))
+    log = skewed & (F.col("least") >= 0)
+    said = F.concat_ws(
+        ";",
+        F.when(wide, F.format_string("wide_scale(p99/p01≈%.1f)", ratio)),
+        F.when(skewed, F.format_string("skew≈%.2f", "skew")),
+        F.when(log, "nonnegative+skew→log1p_candidate"),
+    )
+    return found.select(
+        "column", (wide | skewed).alias("suggest_scale"), skewed.alias("suggest_robust_scaler"), log.alias("suggest_log1p"),
+        *[F.round(c, 6).alias(c) for c in ("skew", "p01", "p99")], said.alias("rationale"),
+    )
+
+
+#: Up to so many different values one-hot columns will do; from so many on they won't.
+FEW_VALUES, MANY_VALUES = 20, 200
+#: The names of the hints.
+HINTS = ("avoid_onehot_idlike", "one_hot_ok", "high_cardinality", "moderate_cardinality")
+NOTES = ("nearly all values differ, or the name is that of an id: drop or hash", "few values", "very many values: target, hash or frequency encoding", "one-hot makes many sparse columns")
 
 
 def encoding_hints(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, n_unique, hint) for categories, by their number."""
-    columns = columns or [c for c, kind in df.dtypes if kind == "string"]
-    found = per_column(df, columns, lambda c: [F.count_distinct(F.col(c)).alias("n_unique"), F.count(c).alias("n")])
-    n = F.col("n_unique")
-    hint = (
-        F.when((F.col("n") > 0) & (n >= 0.98 * F.col("n")), "id-like: drop or hash")
-        .when(n <= 20, "one-hot")
-        .when(n <= 200, "frequency or target encoding")
-        .otherwise("hashing or embedding")
-    )
-    return found.select("column", "n_unique", hint.alias("hint"))
+    """(column, n_unique_nonnull, id_like, encoding_hint, note) of categorical and boolean columns with any value."""
+    kinds = roles(df.select(*map(column, columns)) if columns else df)
+    wanted = columns or [c for c, kind in df.dtypes if c not in numeric_columns(df) and not kind.startswith(("timestamp", "date"))]
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "column string, n_unique_nonnull long, id_like boolean, encoding_hint string, note string")
+    found = per_column(df, wanted, lambda c: [F.count_distinct(column(c)).alias("n_unique_nonnull"), F.count(column(c)).alias("n")]).where(F.col("n") > 0)
+    found = found.join(F.broadcast(kinds.select("column", F.col("is_id_like").alias("id_like"))), "column")  # a row per column
+    n = F.col("n_unique_nonnull")
+    choose = lambda names: F.when(F.col("id_like"), names[0]).when(n <= FEW_VALUES, names[1]).when(n >= MANY_VALUES, names[2]).otherwise(names[3])
+    return found.select("column", "n_unique_nonnull", "id_like", choose(HINTS).alias("encoding_hint"), choose(NOTES).alias("note"))
 
 
 PERCENTS = (1, 5, 50, 95, 99)
@@ -137,15 +181,16 @@ PERCENTS = (1, 5, 50, 95, 99)
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n, mean, std, min, p01..p99, max, skew, kurtosis)."""
     columns = columns or numeric_columns(df)
+    cuts = exact_quantiles(df, {c: as_double(column(c)) for c in columns}, [p / 100 for p in PERCENTS])
 
     def facts(c):
-        x = as_double(c)
+        x = as_double(column(c))
         return [
-            F.count(c).alias("n"),
+            F.count(x).alias("n"),
             F.round(F.avg(x), 6).alias("mean"),
             F.round(F.stddev_samp(x), 6).alias("std"),
             F.min(x).alias("min"),
-            *[F.round(q, 6).alias(f"p{p:02d}") for p, q in zip(PERCENTS, quantiles(x, [p / 100 for p in PERCENTS]), strict=True)],
+            *[F.round(q, 6).alias(f"p{p:02d}") for p, q in zip(PERCENTS, (F.lit(q).cast("double") for q in cuts[c]), strict=True)],
             F.max(x).alias("max"),
             F.round(skewness(x), 6).alias("skew"),
             F.round(kurtosis(x), 6).alias("kurtosis"),
@@ -176,7 +221,7 @@ def top_values(df: DataFrame, columns: list[str], k: int = 15) -> DataFrame:
 
 def category_entropy(df: DataFrame, column: str) -> DataFrame:
     """One row: the Shannon entropy of a column's values, in bits."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").cast("double").alias("n"))
+    counts = df.select(F.col(column).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").cast("double").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
     p = F.col("n") / F.col("t")
     return counts.crossJoin(F.broadcast(total)).agg(F.round(-F.sum(p * F.log2(p + 1e-12)), 6).alias("entropy_bits"))
@@ -196,8 +241,13 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def correlations(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", most: int = 60) -> DataFrame:
-    """(a, b, r) for every pair of at most so many columns, from one pass; pairs with a constant column have no r."""
+def left_out(columns: list[str], most: int | None) -> list[str]:
+    """The columns that a limit of so many leaves out; none without a limit. What uses a limit says what it left out."""
+    return list(columns)[most:] if most is not None else []
+
+
+def correlations(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", most: int | None = None) -> DataFrame:
+    """(a, b, r) for every pair of columns, or of the first `most`, from one pass; pairs with a constant column have no r. left_out names the others."""
     columns = list(columns or numeric_columns(df))[:most]
     varying = _varying(df, columns)
     data = average_ranks(df, varying) if method == "spearman" else df
@@ -211,17 +261,17 @@ def correlations(df: DataFrame, columns: list[str] | None = None, method: str =
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
-def high_correlations(df: DataFrame, columns: list[str] | None = None, limit: float = 0.85) -> DataFrame:
-    return correlations(df, columns).where(F.abs("r") >= limit).orderBy(F.desc(F.abs("r")), "a", "b")
+def high_correlations(df: DataFrame, columns: list[str] | None = None, limit: float = 0.85, most: int | None = None) -> DataFrame:
+    return correlations(df, columns, most=most).where(F.abs("r") >= limit).orderBy(F.desc(F.abs("r")), "a", "b")
 
 
-def vif(df: DataFrame, columns: list[str], fill_median: bool = False, most: int = 25) -> list[tuple[str, float | None]]:
-    """Variance inflation of each of at most so many columns, without intercept, from the matrix of cross products; None where it can't be inverted."""
+def vif(df: DataFrame, columns: list[str], fill_median: bool = False, most: int | None = None) -> list[tuple[str, float | None]]:
+    """Variance inflation of each of the columns, or of the first `most`, without intercept, from the matrix of cross products; None where it can't be inverted."""
     columns = columns[:most]
     x = df.select(*[as_double(c).alias(c) for c in columns])
     if fill_median:
-        m = x.agg(*[quantile(c, 0.5).alias(c) for c in columns]).first()
-        x = x.select(*[F.coalesce(c, F.lit(m[c] or 0.0)).alias(c) for c in columns])
+        m = exact_quantiles(x, {c: F.col(c) for c in columns}, [0.5])
+        x = x.select(*[F.coalesce(c, F.lit(m[c][0] or 0.0)).alias(c) for c in columns])
     x = x.dropna()
     sums = x.agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
     if len(columns) < 2 or sums["n"] < 50:
@@ -237,12 +287,15 @@ def vif(df: DataFrame, columns: list[str], fill_median: bool = False, most: int
 def univariate_numeric(df: DataFrame, column: str, factor: float = 1.5, z: float = 3.0) -> DataFrame:
     """(metric, value) of a numeric column."""
     x = as_double(column)
-    first = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
-    q, m, s = first["q"] or [0.0] * 3, first["m"] or 0.0, first["s"] or 0.0
+    percents = (1, 5, 25, 50, 75, 95, 99)
+    found = exact_quantiles(df, {column: x}, [p / 100 for p in percents])[column]
+    cuts = {p: F.lit(v).cast("double") for p, v in zip(percents, found, strict=True)}
+    first = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
+    q, m, s = [v or 0.0 for v in found[2:5]], first["m"] or 0.0, first["s"] or 0.0
+    mad = exact_quantiles(df, {column: F.abs(x - F.lit(q[1]))}, [0.5])[column][0]
     width = q[2] - q[0]
     outside = F.count_if((x < q[0] - factor * width) | (x > q[2] + factor * width)) if width > 0 else F.lit(0)
     far = F.count_if(F.abs(x - F.lit(m)) / F.lit(s) > z) if s > 0 else F.lit(0)
-    cuts = dict(zip((1, 5, 25, 50, 75, 95, 99), quantiles(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]), strict=True))
     named = {
         "count": F.count(x),
         "missing": F.count_if(x.isNull()),
@@ -254,7 +307,7 @@ def univariate_numeric(df: DataFrame, column: str, factor: float = 1.5, z: float
         "max": F.max(x),
         "mean": F.avg(x),
         "std": F.stddev_samp(x),
-        "mad": quantile(F.abs(x - F.lit(q[1])), 0.5),
+        "mad": F.lit(mad),
         "iqr": cuts[75] - cuts[25],
         "skew": skewness(x),
         "kurtosis": kurtosis(x),
@@ -313,16 +366,86 @@ def logical_type(df: DataFrame, column: str) -> str:
     return "text" if row["n"] and row["u"] / row["n"] > 0.5 else "categorical"
 
 
-def univariate(df: DataFrame, column: str, top: int = 20) -> dict[str, DataFrame]:
-    """The reports that fit a column's logical type, by section."""
-    kind = logical_type(df, column)
+#: Metrics of each section of a report; count_valid stands with the others of its kind.
+SECTIONS = {
+    "Overview": "column dtype logical_type rows_total missing_count missing_pct unique_count unique_pct unique_count_approx".split(),
+    "Numeric": "min q01 q05 q25 median q75 q95 q99 max mean std mad iqr skew kurtosis_fisher zeros_count positive_count negative_count outliers_iqr_count outliers_zscore_count".split(),
+    "Datetime": "min_datetime max_datetime span_days weekday_top month_top".split(),
+    "Boolean": "true_count false_count true_pct false_pct".split(),
+    "Top Values / Text": "top_value shannon_entropy_bits text_len_min text_len_q25 text_len_median text_len_mean text_len_q75 text_len_q95 text_len_max".split(),
+}
+_NUMERIC_NAMES = {
+    "count": "count_valid", "kurtosis": "kurtosis_fisher", "zeros": "zeros_count", "positive": "positive_count", "negative": "negative_count", "iqr_outliers": "outliers_iqr_count",
+    "z_outliers": "outliers_zscore_count",
+}
+
+
+def _plain(x: Column) -> Column:
+    """A number as text: thousands in groups, at most six digits behind the point and no trailing zeros."""
+    text = F.regexp_replace(F.format_number(x.cast("double"), 6), r"\.?0+$", "")
+    return F.when(text == "-0", "0").otherwise(text)
+
+
+def univariate_report(df: DataFrame, column_name: str, top: int = 20, approx: bool = False, factor: float = 1.5, z: float = 3.0, write_path: str | None = None) -> DataFrame:
+    """(section, metric, value, rank, key, count, pct) of one column, by section, metric and rank: an overview and what fits its logical type.
+
+    approx estimates the number of different values instead of counting them. write_path takes the report as a CSV file as well. A column's bytes in memory mean nothing
+    here and aren't reported.
+    """
+    c, spark = column(column_name), df.sparkSession
+    kind = logical_type(df, column_name)
+    different = F.approx_count_distinct(c) if approx else F.count_distinct(c)
+    over = df.agg(F.count("*").alias("n"), F.count(c).alias("given"), different.alias("unlike")).first()
+    n, given, unlike = over["n"], over["given"], over["unlike"]
+    facts = {"rows_total": n, "missing_count": n - given, "missing_pct": (n - given) * 100.0 / n if n else None, "unique_count": unlike, "unique_pct": unlike * 100.0 / given if given else None}
+    texts = {"column": column_name, "dtype": dict(df.dtypes)[column_name], "logical_type": kind, "unique_count_approx": str(approx)}
+    head = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in facts.items()], "metric string, x double").select("metric", _plain(F.col("x")).alias("value"))
+    head = head.union(spark.createDataFrame([*texts.items()], "metric string, value string"))
+    empty = [F.lit(None).cast(t).alias(k) for k, t in (("rank", "int"), ("key", "string"), ("count", "long"), ("pct", "double"))]
+    single = lambda rows, names=None: rows.select(
+        (F.col("metric") if names is None else names).alias("metric"), _plain(F.col("value")).alias("value"), *empty
+    )
+    parts = [head.select("metric", "value", *empty)]
+    valid = df.where(c.isNotNull())
+
+    def ranked(values: Column, metric: str, most: int) -> DataFrame:
+        found = value_counts(valid.select(values.alias("v")), "v", most)
+        return found.select(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("value"), "rank", F.col("value").alias("key"), "count", "pct")
+
+    counted = spark.createDataFrame([("count_valid", float(given))], "metric string, value double")
     if kind == "numeric":
-        return {"numeric": univariate_numeric(df, column)}
-    if kind == "datetime":
-        return {"datetime": univariate_datetime(df, column)}
-    if kind == "boolean":
-        return {"boolean": univariate_boolean(df, column)}
-    return {"top": value_counts(df, column, top), "entropy": category_entropy(df, column), "lengths": text_lengths(df, column)}
+        rows = univariate_numeric(df, column_name, factor, z).where(~F.col("metric").isin("missing", "unique"))
+        names = F.coalesce(F.create_map(*[F.lit(v) for pair in _NUMERIC_NAMES.items() for v in pair])[F.col("metric")], F.col("metric"))
+        parts.append(single(rows if given else counted, names if given else None))
+    elif kind == "datetime":
+        parts.append(single(counted))
+        shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+        span = F.round(F.timestamp_diff("SECOND", F.min(c), F.max(c)) / 86400, 6)
+        ends = valid.agg(shown(F.min(c)).alias("min_datetime"), shown(F.max(c)).alias("max_datetime"), _plain(span).alias("span_days"))
+        parts.append(ends.unpivot([], ["min_datetime", "max_datetime", "span_days"], "metric", "value").where("value is not null").select("metric", "value", *empty))
+        parts += [ranked(F.date_format(c, "E"), "weekday_top", min(7, top)), ranked(F.date_format(c, "yyyy-MM"), "month_top", min(12, top))]
+    elif kind == "boolean":
+        rows = valid.agg(F.count_if(c).alias("t"), F.count("*").alias("n")).first()
+        held = {"count_valid": rows["n"], "true_count": rows["t"], "false_count": rows["n"] - rows["t"]}
+        if rows["n"]:
+            held |= {"true_pct": rows["t"] * 100.0 / rows["n"], "false_pct": (rows["n"] - rows["t"]) * 100.0 / rows["n"]}
+        parts.append(single(spark.createDataFrame([(k, float(v)) for k, v in held.items()], "metric string, value double")))
+    else:
+        parts.append(ranked(c.cast("string"), "top_value", top))
+        parts.append(single(category_entropy(valid, column_name).select(F.lit("shannon_entropy_bits").alias("metric"), F.col("entropy_bits").alias("value"))))
+        if kind == "text":
+            parts.append(single(text_lengths(valid, column_name).withColumn("metric", F.concat(F.lit("text_len_"), "metric"))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    section = F.lit("Other")
+    for name, metrics in SECTIONS.items():
+        section = F.when(F.col("metric").isin(metrics), name).otherwise(section)
+    section = F.when(F.col("metric") == "count_valid", kind.capitalize()).otherwise(section)
+    report = out.select(section.alias("section"), *out.columns).orderBy("section", "metric", "rank")
+    if write_path:
+        report.coalesce(1).write.mode("overwrite").option("header", True).csv(write_path)
+    return report
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

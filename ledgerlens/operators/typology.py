@@ -87,7 +87,7 @@ def fan_out_percentile(tx: DataFrame, freq: str = "1H", percent: float = 95) ->
 
 
 def fan_out_suspicious(tx: DataFrame, freq: str = "1H", threshold: float = 3.0) -> DataFrame:
-    """Only the outliers, most recipients first. The reference's public API doesn't reach this variant."""
+    """Only the outliers, most recipients first."""
     return fan_out_zscore(tx, freq, threshold).where("is_outlier").drop("is_outlier").orderBy(F.desc("unique_recipients"), "from_bank", "account", "bucket")
 
 

@@ -38,22 +38,63 @@ def _each(columns, template: str) -> str:
     return " union all ".join(template.format(c=c) for c in columns)
 
 
-@query(_FEATURES + _ACCOUNTS + ", x as (select account, " + ", ".join(
-    ["total_out_tx", "total_in_tx"]
-    + [f"ln(1 + greatest(coalesce({c}, 0), 0)) as {c}" for c in ("total_out_amt", "max_out_amt", "total_in_amt", "max_in_amt")]
-    + ["entropy_out_amt", "entropy_in_amt", "unique_receivers", "unique_senders", "hhi_out", "hhi_in"]
-    + ["sign(net_flow_amt) * ln(1 + abs(net_flow_amt)) as net_flow_amt"]
-) + " from acc) select account, " + ", ".join(
-    f"round(cast(coalesce({c}, 0) as double), 6) as {c}" for c in features.ACCOUNT_FEATURES
-) + " from x")
+def _scaled(columns, keep: str, table: str = "m") -> str:
+    """SQL that scales the columns of a table by their medians and quartiles."""
+    q = ", ".join(f"quantile_cont({c}::double, [0.25, 0.5, 0.75]) as q_{c}" for c in columns)
+    each = ", ".join(f"round(({c}::double - q_{c}[2]) / coalesce(nullif(q_{c}[3] - q_{c}[1], 0), 1), 6) as {c}" for c in columns)
+    return f", q as (select {q} from {table}) select {keep}, {each} from {table}, q"
+
+
+_LOGS = ("total_out_amt", "max_out_amt", "total_in_amt", "max_in_amt")
+_ZERO = ("entropy_out_amt", "entropy_in_amt", "hhi_out", "hhi_in", "unique_receivers", "unique_senders")
+_NET = "sign(coalesce(net_flow_amt, 0)) * ln(1 + abs(coalesce(net_flow_amt, 0))) as net_flow_amt"
+
+
+@query(_FEATURES + _ACCOUNTS + ", m as (select account, " + ", ".join(
+    [f"coalesce({c}, 0) as {c}" for c in ("total_out_tx", "total_in_tx", *_ZERO)] + [f"ln(1 + greatest(coalesce({c}, 0), 0)) as {c}" for c in _LOGS] + [_NET]
+) + " from acc)" + _scaled(features.ACCOUNT_FEATURES, "account"))
 def pre_model_accounts(tx):
     clean = features.clean_numeric(features.account_features(tx))
     return _rounded(prep.pre_model(clean, prep.MatrixConfig(keep=("account",))))
 
 
-@query(_FEATURES + """ select is_laundering, round(ln(1 + cast(amount_paid as double)), 6) as amount_paid, round(ln(1 + cast(amount_received as double)), 6) as amount_received,
-  cast(same_bank as double) as same_bank, amount_ratio, cast(is_reinvestment as double) as is_reinvestment, cast(weekday_of_transaction as double) as weekday_of_transaction,
-  cast(hour_of_transaction as double) as hour_of_transaction from t""")
+_GAPS = ", ".join(f"case when account::int % 3 = 0 then null else {c} end as {c}" for c in ("total_out_amt", "entropy_out_amt", "hhi_in", "unique_senders"))
+_FLAGGED = tuple(f"{c}_missing" for c in ("entropy_out_amt", "hhi_in", "unique_senders"))
+
+
+@query(_FEATURES + _ACCOUNTS + f", g as (select account, net_flow_amt, {_GAPS} from acc), h as (select account, " + ", ".join(
+    [f"coalesce({c}, 0) as {c}" for c in ("entropy_out_amt", "hhi_in", "unique_senders")]
+    + [f"cast({c} is null as double) as {c}_missing" for c in ("entropy_out_amt", "hhi_in", "unique_senders")] + [_NET, "case when total_out_amt is not null then ln(1 + greatest(total_out_amt, 0)) end as total_out_amt"]
+) + " from g), m as (select * replace (coalesce(total_out_amt, (select quantile_cont(total_out_amt, 0.5) from h)) as total_out_amt) from h)"
+  + _scaled(("total_out_amt", "entropy_out_amt", "hhi_in", "unique_senders", "net_flow_amt", *_FLAGGED), "account"))
+def pre_model_gaps(tx):
+    """The matrix of accounts a third of which lack some features: flags, zeros and medians."""
+    lacks = F.col("account").cast("int") % 3 == 0
+    some = features.account_features(tx).select("account", "net_flow_amt", *[F.when(~lacks, F.col(c)).alias(c) for c in ("total_out_amt", "entropy_out_amt", "hhi_in", "unique_senders")])
+    return _rounded(prep.pre_model(some, prep.MatrixConfig(keep=("account",))))
+
+
+@query(""", m as (select account, ts, ln(1 + greatest(amount_paid::double, 0)) as amount_paid, isodow(ts) - 1 as weekday_of_transaction, hour(ts) as hour_of_transaction from tx)"""
+  + _scaled(("amount_paid", "weekday_of_transaction", "hour_of_transaction"), "account, ts"))
+def pre_model_times(tx):
+    """Weekday and hour are derived where the table has none."""
+    return _rounded(prep.pre_model(tx.select("account", "ts", "amount_paid"), prep.MatrixConfig(keep=("account", "ts"))))
+
+
+@query(""", m as (select account, ts, 1.0::double as same, is_laundering, ln(1 + greatest(amount_paid::double, 0)) as amount_paid, ln(1 + greatest((amount_paid - amount_received)::double, 0)) as net_flow_amt from tx)"""
+  + _scaled(("same", "is_laundering", "amount_paid", "net_flow_amt"), "account, ts"))
+def pre_model_legacy(tx):
+    df = tx.select("account", "ts", F.lit(1.0).alias("same"), "is_laundering", "amount_paid", (F.col("amount_paid") - F.col("amount_received")).alias("net_flow_amt"))
+    cfg = prep.MatrixConfig.legacy()
+    cfg.keep = ("account", "ts")
+    return _rounded(prep.pre_model(df, cfg))
+
+
+_TX_COLUMNS = ("amount_paid", "amount_received", "same_bank", "amount_ratio", "is_reinvestment", "weekday_of_transaction", "hour_of_transaction")
+
+
+@query(_FEATURES + """, m as (select is_laundering, ln(1 + cast(amount_paid as double)) as amount_paid, ln(1 + cast(amount_received as double)) as amount_received, same_bank, amount_ratio, is_reinvestment, weekday_of_transaction,
+  hour_of_transaction from t)""" + _scaled(_TX_COLUMNS, "is_laundering"))
 def pre_model_tx(tx):
     return _rounded(prep.pre_model(features.tx_features(tx), prep.MatrixConfig(keep=("is_laundering",))))
 
@@ -81,36 +122,68 @@ def missingness(tx):
     return profile.missingness(tx)
 
 
-@query(" " + _each(NUMBERS, """select '{c}' as "column", count({c}) as n, round(any_value(lo), 6) as low, round(any_value(hi), 6) as high,
-  case when any_value(b - a) > 0 then count(*) filter ({c}::double < lo or {c}::double > hi) else 0 end as n_outliers,
-  round((case when any_value(b - a) > 0 then count(*) filter ({c}::double < lo or {c}::double > hi) else 0 end)::double / count({c}), 6) as ratio
+_COUNTED = """count(*) filter ({out}) as outlier_count, round(count(*) filter ({out})::double / count({{c}}), 6) as outlier_ratio"""
+
+
+@query(" " + _each(NUMBERS, """select '{c}' as "column", 'IQR(k=1.5)' as method, count({c}) as nonnull, """ + _COUNTED.format(out="b > a and ({c}::double < lo or {c}::double > hi)")
+  + """, round(any_value(case when b > a then lo else a end), 6) as bound_lo, round(any_value(case when b > a then hi else b end), 6) as bound_hi, null::double as mad_center, null::double as mad_scale,
+  min({c})::double as min, max({c})::double as max
   from tx, (select a, b, a - 1.5::double * (b - a) as lo, b + 1.5::double * (b - a) as hi from (select quantile_cont({c}::double, 0.25) as a, quantile_cont({c}::double, 0.75) as b from tx))"""))
 def outliers_iqr(tx):
     return profile.outliers_iqr(tx)
 
 
-@query(" " + _each(NUMBERS, """select '{c}' as "column", count({c}) as n, round(any_value(m), 6) as median, round(any_value(d), 6) as mad,
-  case when any_value(d) > 0 then count(*) filter (abs({c}::double - m) * 0.6745::double / d > 3.5) else 0 end as n_outliers,
-  round((case when any_value(d) > 0 then count(*) filter (abs({c}::double - m) * 0.6745::double / d > 3.5) else 0 end)::double / count({c}), 6) as ratio
-  from tx, (select m, (select quantile_cont(abs({c}::double - m), 0.5) from tx) as d from (select quantile_cont({c}::double, 0.5) as m from tx))""").replace("/ d >", "/ nullif(d, 0) >"))
+@query(" " + _each(NUMBERS, """select '{c}' as "column", 'MAD(z>3.5)' as method, count({c}) as nonnull, """ + _COUNTED.format(out="abs({c}::double - m) * 0.6745::double / nullif(d, 0) > 3.5")
+  + """, null::double as bound_lo, null::double as bound_hi, round(any_value(m), 6) as mad_center, round(any_value(d), 6) as mad_scale, min({c})::double as min, max({c})::double as max
+  from tx, (select m, (select quantile_cont(abs({c}::double - m), 0.5) from tx) as d from (select quantile_cont({c}::double, 0.5) as m from tx))"""))
 def outliers_mad(tx):
     return profile.outliers_mad(tx)
 
 
-_SKEW = "round(skewness({c}::double), 6)"
+_HINTED = (*NUMBERS, "spread")
 
 
-@query(" " + _each(NUMBERS, """select '{c}' as "column", n, sk as skew, p01, p99, coalesce(p01 > 0 and p99 / nullif(p01, 0) >= 1000, false) as wide_range, mn >= 0 and abs(sk) >= 1 as log1p_candidate,
-  case when mn >= 0 and abs(sk) >= 1 then 'log1p then scale' when coalesce(p01 > 0 and p99 / nullif(p01, 0) >= 1000, false) or abs(sk) >= 1 then 'robust scale' else 'standard scale' end as hint
-  from (select count({c}) as n, round(skewness({c}::double), 6) as sk, round(quantile_cont({c}::double, 0.01), 6) as p01, round(quantile_cont({c}::double, 0.99), 6) as p99, min({c}) as mn from tx)"""))
+@query(", y as (select amount_paid, amount_received, is_laundering, exp(amount_paid::double / 5000) as spread from tx) " + _each(_HINTED, """select '{c}' as "column", wide or skewed as suggest_scale, skewed as suggest_robust_scaler,
+  mn >= 0 and skewed as suggest_log1p, round(sk, 6) as skew, round(p01, 6) as p01, round(p99, 6) as p99,
+  concat_ws(';', case when wide then 'wide_scale(p99/p01≈' || format('{{:.1f}}', ratio) || ')' end, case when skewed then 'skew≈' || format('{{:.2f}}', sk) end, case when mn >= 0 and skewed then 'nonnegative+skew→log1p_candidate' end) as rationale
+  from (select *, abs(p99) / greatest(abs(p01), 1e-12::double) as ratio, abs(p99) / greatest(abs(p01), 1e-12::double) >= 1000 as wide, abs(sk) >= 1 as skewed from (select skewness({c}::double) as sk, quantile_cont({c}::double, 0.01) as p01, quantile_cont({c}::double, 0.99) as p99, min({c})::double as mn from y))"""))
 def scaling_hints(tx):
-    return profile.scaling_hints(tx)
+    return profile.scaling_hints(tx.select(*NUMBERS, F.exp(F.col("amount_paid").cast("double") / 5000).alias("spread")))
+
+
+#: Columns with names and numbers of values that the rules turn on: 20 and 200 are few and many, an id's name counts in any case, gaps don't.
+_CODED = {
+    "payment_format": "payment_format", "twenty": "cast(account as int) % 20", "twenty_one": "cast(account as int) % 21", "two_hundred": "cast(account as int) % 200", "below": "cast(account as int) % 199", "Customer": "'c'",
+    "acct id": "cast(account as int) % 3", "order_no": "cast(account as int) % 3", "some": "case when cast(account as int) % 50 = 7 then account || to_bank || ts end",
+}
+
+
+def _coded(tx):
+    k = F.col("account").cast("int")
+    made = {
+        "payment_format": F.col("payment_format"), **{n: (k % m).cast("string") for n, m in (("twenty", 20), ("twenty_one", 21), ("two_hundred", 200), ("below", 199))}, "Customer": F.lit("c"),
+        "acct id": (k % 3).cast("string"), "order_no": (k % 3).cast("string"), "some": F.when(k % 50 == 7, F.concat("account", "to_bank", F.col("ts").cast("string"))),
+    }
+    return tx.select(*[v.alias(n) for n, v in made.items()], (F.col("is_laundering") == 1).alias("flag"))
 
 
-@query(" " + _each(TEXTS, """select '{c}' as "column", count(distinct {c}) as n_unique, case when count(distinct {c}) >= 0.98 * count({c}) then 'id-like: drop or hash' when count(distinct {c}) <= 20 then 'one-hot'
-  when count(distinct {c}) <= 200 then 'frequency or target encoding' else 'hashing or embedding' end as hint from tx"""))
+def _id_like(c: str, e: str) -> str:
+    return "true" if c in ("Customer", "acct id") else f"count(distinct {e}) >= 0.98 * count({e})"
+
+
+@query(" " + " union all ".join(
+    f"select *, case when id_like then 'avoid_onehot_idlike' when n_unique_nonnull <= 20 then 'one_hot_ok' when n_unique_nonnull >= 200 then 'high_cardinality' else 'moderate_cardinality' end as encoding_hint "
+    f"from (select '{c}' as \"column\", count(distinct {e}) as n_unique_nonnull, {_id_like(c, e)} as id_like from tx)" for c, e in {**_CODED, "flag": "is_laundering = 1"}.items() if c != "flag")
+  + " union all select 'flag', count(distinct is_laundering), false, 'one_hot_ok' from tx")
 def encoding_hints(tx):
-    return profile.encoding_hints(tx, list(TEXTS))
+    return profile.encoding_hints(_coded(tx)).drop("note")
+
+
+@query(" " + " union all ".join(
+    f"select '{c}' as \"column\", '{'bool' if c == 'flag' else 'categorical'}' as role, count(distinct {e}) <= 1 as is_constant, {'false' if c == 'flag' else _id_like(c, e)} as is_id_like from tx"
+    for c, e in {**_CODED, "flag": "is_laundering = 1"}.items()))
+def roles_of_names(tx):
+    return profile.roles(_coded(tx))
 
 
 @query(" " + _each(NUMBERS, "select '{c}' as \"column\", count({c}) as n, round(avg({c}::double), 6) as mean, round(stddev_samp({c}::double), 6) as std, min({c})::double as min, "
@@ -204,7 +277,7 @@ def histogram(tx):
 
 @query(" " + " union all ".join(
     f"select '{c}' as \"column\", '{'datetime' if c == 'ts' else 'numeric' if c in NUMBERS else 'categorical'}' as role, count(distinct {c}) <= 1 as is_constant, "
-    + ("false" if c in NUMBERS else f"count(distinct {c}) >= 0.98 * count(*)" + (" or true" if c == "account" or c == "account_1" else "")) + " as is_id_like from tx" for c in ALL))
+    + ("false" if c in (*NUMBERS, "ts") else "true" if c in ("account", "account_1") else f"count(distinct {c}) >= 0.98 * count({c})") + " as is_id_like from tx" for c in ALL))
 def roles(tx):
     return profile.roles(tx)
 
@@ -361,16 +434,20 @@ def drop_constant_fill(tx):
     return prep.drop_constant_then_fill(df, ["amount_paid", "amount_ratio", "one"])
 
 
-@query(" select min(amount_paid)::double as min_paid, count(*) filter (payment_format is null or payment_format = '') as blank_formats from tx")
+@query(" select account, case when account::int % 7 in (1, 2, 3) then null else payment_format end as payment_format, case when account::int % 7 = 4 then '' else to_bank end as to_bank from tx")
 def blank_recode(tx):
-    return cols.blanks_to_null(tx, ["payment_format"]).agg(F.min("amount_paid").cast("double").alias("min_paid"), F.count_if(F.col("payment_format").isNull()).alias("blank_formats"))
+    k = F.col("account").cast("int") % 7
+    blank = F.when(k == 1, "").when(k == 2, "nan").when(k == 3, "NaN").otherwise(F.col("payment_format"))
+    return cols.blanks_to_null(tx.select("account", blank.alias("payment_format"), F.when(k == 4, "").otherwise(F.col("to_bank")).alias("to_bank")), ["payment_format"])
 
 
-@query()
+@query(" select * from tx order by md5(concat_ws('|', ts::varchar, from_bank, account, to_bank, account_1, amount_received::varchar, receiving_currency, amount_paid::varchar, payment_currency, payment_format, is_laundering::varchar, '42')) limit 1000")
 def sample_rows(tx):
-    return cols.sample_rows(tx, 1000)
+    return cols.sample_rows(tx.select("ts", "from_bank", "account", "to_bank", "account_1", "amount_received", "receiving_currency", "amount_paid", "payment_currency", "payment_format", "is_laundering"), 1000)
 
 
-@query(" select 'SUMMARY' as section, 'used=2 excluded=3' as feature union all select 'FEATURE_USED', unnest(['amount_received', 'amount_paid']) union all select 'REQUESTED_BUT_EXCLUDED_NON_NUMERIC', unnest(['receiving_currency', 'payment_currency', 'payment_format'])")
+@query(""" select 'SUMMARY' as section, 'n_rows' as key, count(*)::varchar as value, '' as feature_name from tx union all select 'SUMMARY', 'n_total_columns_in_input', '11', '' union all select 'SUMMARY', 'n_requested_feature_cols', '5', ''
+  union all select 'SUMMARY', 'n_numeric_feature_cols_used', '2', '' union all select 'SUMMARY', 'n_non_numeric_excluded', '3', '' union all select 'FEATURE_USED', '', '', unnest(['amount_received', 'amount_paid'])
+  union all select 'REQUESTED_BUT_EXCLUDED_NON_NUMERIC', '', '', unnest(['receiving_currency', 'payment_currency', 'payment_format'])""")
 def feature_report(tx):
     return cols.feature_report(tx)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.storage import stored
 from ledgerlens.operators import evaluate, features, models, prep, profile
 from ledgerlens.sinks.writers import StepResult
 
@@ -20,8 +21,9 @@ class ProfileConfig:
     top: int = 15
     outlier_rule: str = "iqr"
     correlation_limit: float = 0.85
-    most_columns: int = 60
+    most_columns: int | None = 60
     with_vif: bool = False
+    most_vif_columns: int | None = 25
 
 
 def _missingness(df: DataFrame, cfg: ProfileConfig) -> StepResult:
@@ -45,9 +47,18 @@ def _distributions(df: DataFrame, cfg: ProfileConfig) -> StepResult:
 
 
 def _collinearity(df: DataFrame, cfg: ProfileConfig) -> StepResult:
-    found = StepResult({"corr_matrix": profile.correlations(df, most=cfg.most_columns), "high_corr_pairs": profile.high_correlations(df, limit=cfg.correlation_limit)})
+    columns = prep.numeric_columns(df)
+    pairs = stored(profile.correlations(df, columns, most=cfg.most_columns), "correlations")
+    high = pairs.where(F.abs("r") >= cfg.correlation_limit).orderBy(F.desc(F.abs("r")), "a", "b")
+    found = StepResult({"corr_matrix": pairs, "high_corr_pairs": high})
+    without = profile.left_out(columns, cfg.most_columns)
+    if without:
+        found.warnings.append(f"correlations leave out {len(without)} columns beyond the first {cfg.most_columns}: {', '.join(without)}")
     if cfg.with_vif:
-        found.metrics = {f"vif_{c}": v for c, v in profile.vif(df, prep.numeric_columns(df)) if v is not None}
+        found.metrics = {f"vif_{c}": v for c, v in profile.vif(df, columns, most=cfg.most_vif_columns) if v is not None}
+        without = profile.left_out(columns, cfg.most_vif_columns)
+        if without:
+            found.warnings.append(f"VIF leaves out {len(without)} columns beyond the first {cfg.most_vif_columns}: {', '.join(without)}")
     return found
 
 
@@ -61,16 +72,19 @@ STEPS: dict[str, Callable[[DataFrame, ProfileConfig], StepResult]] = {
 
 
 def run_profile(df: DataFrame, config: ProfileConfig | None = None) -> dict[str, StepResult]:
-    """The chosen steps' results; a step that fails leaves a warning and doesn't stop the others."""
+    """The chosen steps' results, their tables computed and stored; a step that fails, when it is planned or when it runs, leaves a warning and doesn't stop the others."""
     cfg = config or ProfileConfig()
     out = {}
     for name, step in STEPS.items():
         if (cfg.only is not None and name not in cfg.only) or name in cfg.exclude:
             continue
+        found = StepResult()
         try:
-            out[name] = step(df, cfg)
+            found = step(df, cfg)
+            found.tables = {k: stored(t, f"profile-{name}") for k, t in found.tables.items()}
         except Exception as error:  # noqa: BLE001  any step may fail by itself
-            out[name] = StepResult(warnings=[f"failed: {error}"[:500]])
+            found = StepResult(metrics=found.metrics, warnings=[*found.warnings, f"failed: {error}"[:500]])
+        out[name] = found
     return out
 
 
@@ -94,7 +108,7 @@ def run_ensemble(matrix: DataFrame, columns: list[str], contamination: float = 0
     df = features.clean_numeric(matrix)
     df = models.isolation_forest(df, columns)
     df = models.lof_scores(df, columns, k)
-    df = models.copod_scores(df, columns)
+    df = stored(models.copod_scores(df, columns), "scores")  # each limit reads a score, and the result all of them
     for d in models.DETECTORS:
         df = models.flagged(df, f"{d}_score", f"{d}_is_outlier", contamination)
     return models.votes(df, [f"{d}_is_outlier" for d in models.DETECTORS])

@@ -145,7 +145,7 @@ def test_moments_and_outliers_as_in_pandas(spark):
     assert pairs["a", "b"] == pytest.approx(x.a.corr(x.b), abs=1e-5) and pairs["a", "c"] is None
     ranks = profile.correlations(df, ["a", "b"], "spearman").first()["r"]
     assert ranks == pytest.approx(x.a.rank().corr(x.b.rank()), abs=1e-5)
-    out = {r["column"]: r["n_outliers"] for r in profile.outliers_iqr(df).collect()}
+    out = {r["column"]: r["outlier_count"] for r in profile.outliers_iqr(df).collect()}
     q1, q3 = x.a.quantile([0.25, 0.75])
     assert out["a"] == int(((x.a < q1 - 1.5 * (q3 - q1)) | (x.a > q3 + 1.5 * (q3 - q1))).sum()) and out["c"] == 0
     found = dict(profile.vif(df, ["a", "b"]))
@@ -205,17 +205,18 @@ def test_conversion(spark):
 def test_csv_reading_and_inspection(spark, tmp_path):
     path = tmp_path / "raw.csv"
     path.write_text(
-        "Timestamp;From Bank;Account;To Bank;Account;Amount;Flag\n2022-09-01 00:20:00;010;8000​E;10; ８０ ;1,5;1\n2022/09/01 00:21;3208;B;1;C;x;0\nnot a time;1;D;2;E;2;1\nshort;1\n2022-09-02;5;F;6;G;3;0\n", encoding="utf-8"
+        "Timestamp;From Bank;Account;To Bank;Account;Amount;Flag\n2022-09-01 00:20:00;010;8000​E;10; ８０ ;1,5;1\n2022/09/01 00:21;3208;B;1;C;x;0\nnot a time;1;D;2;E;2;1\n2022-09-03;1\nlong;1;D;2;E;2;1;;\n2022-09-02;5;F;6;G;3;0\n", encoding="utf-8"
     )
     df = csv.read_csv(spark, str(path))
     assert df.columns == ["Timestamp", "From Bank", "Account", "To Bank", "Account.1", "Amount", "Flag"]
     rows = df.collect()
-    assert len(rows) == 4
+    assert len(rows) == 5 and rows[3]["Account"] is None and rows[3]["From Bank"] == 1.0
     assert rows[0]["Account"] == "8000E" and rows[0]["Account.1"] == "80" and rows[0]["From Bank"] == 10.0
-    assert [r["Amount"] for r in rows] == [1.5, None, 2.0, 3.0]
-    assert rows[0]["Timestamp"] == at(1, 0, 20) and rows[2]["Timestamp"] is None
+    assert [r["Amount"] for r in rows] == [1.5, None, 2.0, None, 3.0]
+    assert rows[0]["Timestamp"] == "2022-09-01 00:20:00" and rows[2]["Timestamp"] is None
+    assert csv.wide_lines(spark, str(path)) == 1
     info = csv.inspect_csv(spark, str(path))
-    assert (info["delimiter"], info["num_columns"], info["malformed_rows"]) == (";", 7, 1)
+    assert (info["delimiter"], info["num_columns"], info["malformed_rows"]) == (";", 7, 2)
     assert info["columns_info"]["Flag"]["inferred_dtype"] == "bool"
     with pytest.raises(ValueError):
         csv.inspect_csv(spark, str(path), strict=True)
@@ -231,7 +232,7 @@ def test_column_profiles(spark):
 
 def test_matrix_imputes_logs_and_drops(spark):
     df = spark.createDataFrame([("a", 1.0, None, -5.0, 7.0), ("b", 3.0, 2.0, 5.0, 7.0), ("c", None, 4.0, 0.0, 7.0)], "account string, amount_paid double, entropy_out_amt double, net_flow_amt double, same double")
-    got = {r["account"]: r for r in prep.pre_model(df, prep.MatrixConfig(keep=("account",))).collect()}
+    got = {r["account"]: r for r in prep.pre_model(df, prep.MatrixConfig(keep=("account",), scale=False)).collect()}
     assert "same" not in got["a"]
     assert got["c"]["amount_paid"] == pytest.approx((math.log(2) + math.log(4)) / 2)
     assert got["a"]["entropy_out_amt"] == 0.0 and got["a"]["entropy_out_amt_missing"] == 1.0
@@ -287,6 +288,83 @@ def test_streams_agree_with_batches(spark, tx, tmp_path):
     assert got == {(r["account"], r["bucket"]): r["unique_recipients"] for r in typology.fan_out_groups(rows, "1D").collect()}
 
 
+def test_exact_quantiles_as_in_numpy(spark, monkeypatch):
+    from ledgerlens.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)  # brackets that hold many values
+    rng = np.random.default_rng(11)
+    x = pd.DataFrame({"a": rng.normal(size=3000), "b": rng.integers(0, 4, 3000) * 1.0, "c": 7.0, "d": np.nan})
+    x.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(x).repartition(5)
+    ps = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles.exact_quantiles(df, {c: F.col(c) for c in x}, ps)
+    for c in "abc":
+        assert got[c] == pytest.approx(x[c].quantile(ps).tolist()), c
+    assert got["d"] == [None] * len(ps)
+    assert quantiles.exact_quantiles(df.limit(0), {"a": F.col("a")}, [0.5]) == {"a": [None]}
+    assert quantiles.exact_quantiles(spark.createDataFrame([(3.0,)], "b double"), {"b": F.col("b")}, [0.3])["b"] == [3.0]
+
+
+def test_csv_values_with_breaks_delimiters_and_dotted_names(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text('a;b;c.d\nA;1;x\nB;2,5\n"E\nE";5;"q;""r"\nF;6;;\nG;7;\n', encoding="utf-8")
+    rows = csv.read_csv(spark, str(path), account_columns=("a",)).collect()
+    assert sorted(tuple(r) for r in rows if r["c.d"] is not None) == [("A", 1.0, "x"), ("E\nE", 5.0, 'q;"r'), ("G", 7.0, "")]
+    assert [tuple(r) for r in rows if r["c.d"] is None] == [("B", 2.5, None)] and csv.wide_lines(spark, str(path)) == 1
+    latin = tmp_path / "latin.csv"
+    latin.write_bytes("a;é\n1;ü\n".encode("latin-1"))
+    assert csv.read_csv(spark, str(latin), encoding="iso-8859-1").columns == ["a", "é"]
+    theirs, stats = csv.read_account(spark, str(path), " A ", "a", "b", "c.d")
+    assert theirs.count() == 1 and stats.first()["total_rows"] == 4
+
+
+def test_times_of_the_type_lattice(spark):
+    given = {"z": "2022-01-01T00:00:00Z", "offset": "2022-01-01 00:00+02:00", "plain": "2022-01-01", "slash": "2022/01/01", "dot": "01.02.2022", "e": "1e6", "f": "1f"}
+    df = spark.createDataFrame([tuple(given.values())], ", ".join(f"{k} string" for k in given))
+    got = {r["column"]: r["inferred_dtype"] for r in csv.column_profile(df, df.columns).collect()}
+    assert got == {"z": "datetime", "offset": "datetime", "plain": "datetime", "slash": "string", "dot": "string", "e": "float", "f": "string"}
+
+
+def test_a_step_that_fails_when_it_runs_stops_no_other(spark, tx):
+    broken = tx.withColumn("payment_format", F.when(F.col("account") == "A", F.raise_error(F.lit("broken"))).otherwise(F.col("payment_format")))
+    results = run_profile(broken, ProfileConfig(only=("scaling_encoding", "outliers")))
+    assert "broken" in results["scaling_encoding"].warnings[0] and not results["scaling_encoding"].tables
+    assert results["outliers"].tables and not results["outliers"].warnings
+
+
+def test_columns_beyond_a_limit_are_named(spark):
+    df = spark.createDataFrame([(float(k), float(-k), k * k * 1.0) for k in range(60)], "a double, b double, c double")
+    found = run_profile(df, ProfileConfig(only=("multicollinearity",), most_columns=2, most_vif_columns=2, with_vif=True))["multicollinearity"]
+    assert len(found.warnings) == 2 and all(w.endswith(": c") for w in found.warnings)
+    assert profile.correlations(df).count() == 3
+
+
+def test_workbook_and_folder(spark, tx, tmp_path):
+    import zipfile
+
+    folder = writers.run_folder(spark, str(tmp_path), "run 1")
+    sheets = dict(zip(writers.SHEETS, (account.stats(tx, "A"), account.daily(tx, "A"), account.distribution(tx, "A", "payment_format"), account.distribution(tx, "A", "payment_currency")), strict=True))
+    file = writers.write_account_report(spark, "A", sheets, folder)
+    with zipfile.ZipFile(file) as z:
+        assert sum(n.startswith("xl/worksheets/") for n in z.namelist()) == 4
+        assert [n for n in writers.SHEETS if f'name="{n}"' in z.read("xl/workbook.xml").decode()] == list(writers.SHEETS)
+    writers.write_readme(spark, {"account_features": sheets["Stats"]}, folder, "2022-09-01")
+    assert "account_features" in open(f"{folder}/README.txt").read()
+    with pytest.raises(ValueError):
+        writers.write_account_report(spark, "A", {"Stats": sheets["Stats"]}, folder)
+
+
+def test_reports_by_logical_type(spark, tx, tmp_path):
+    flags = spark.createDataFrame([(True, None, 1.5), (False, None, -2.0), (True, None, 1234.5), (None, None, None)], "f boolean, n string, x double")
+    got = {r["metric"]: r["value"] for r in profile.univariate_report(flags, "f").collect()}
+    assert (got["true_count"], got["false_pct"], got["logical_type"], got["rows_total"]) == ("2", "33.333333", "boolean", "4")
+    numeric = {r["metric"]: (r["section"], r["value"]) for r in profile.univariate_report(flags, "x", write_path=f"{tmp_path}/x").collect()}
+    assert numeric["max"] == ("Numeric", "1,234.5") and numeric["count_valid"] == ("Numeric", "3") and numeric["outliers_zscore_count"][1] == "0"
+    assert spark.read.option("header", True).csv(f"{tmp_path}/x").columns == ["section", "metric", "value", "rank", "key", "count", "pct"]
+    assert profile.univariate_report(flags, "n").where("metric = 'top_value'").count() == 0
+    assert profile.univariate_report(flags.limit(0), "x").where("metric = 'rows_total'").first()["value"] == "0"
+
+
 def test_the_entry_module():
     import __spark_entry__
 
