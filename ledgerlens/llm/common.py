@@ -19,19 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of just that name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, name: str) -> str:
-    """name, with as many underscores as it takes to be none of df's columns."""
-    while name in df.columns:
+    """name, with as many underscores as it takes to be none of df's columns, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1 and so on, so that columns put beside them can't clash with any."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """What numbered(df) calls the column name: that of just this name, or else of this name in other case."""
+    names = df.columns if name in df.columns else [c.lower() for c in df.columns]
+    return f"_{names.index(name if name in df.columns else name.lower())}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests on one machine) a new temporary folder becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine gets a new temporary folder for it; on a cluster that is an error, since each executor would write to a
+    folder of its own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        found = kept or f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -79,7 +101,7 @@ def join_hot_aware(left: DataFrame, right: DataFrame, key: str, size: str, total
     return out.select(*left.columns, *[F.col(f"_side.{c}").alias(c) for c in fields])
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, salts: int = 32) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, salts: int = 32, how: str = "inner") -> DataFrame:
     """left joined with right, which has few rows per key; sizes (key, n) has the number of left's rows per key, total rows in all.
 
     Rows of right whose key is hot, at most HOT_SHARE of them, are dealt out so many times, and left's rows with that key among the
@@ -93,7 +115,7 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     )
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     dealt = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread.drop("_hot").join(dealt, [key, "_salt"]).drop("_salt")
+    return spread.drop("_hot").join(dealt, [key, "_salt"], how).drop("_salt")
 
 
 def slices(batch, column: int, most_bytes: int = 4 << 20):

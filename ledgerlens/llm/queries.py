@@ -55,7 +55,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ledgerlens/archive-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path)
+    return warc.read_archive(spark, path).drop("url")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
