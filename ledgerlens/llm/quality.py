@@ -1,27 +1,31 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A rule has steps, the columns it computes, and a test that says when a document fails. `order_rules` measures on a sample how many
-documents each rule rejects and how long it takes, and puts the rules in the order of rejection per cost. `cascade` then applies
-them one after the other; the steps of a rule are computed only for documents that no earlier rule rejected. The order never
-changes which documents stay.
+A rule has steps, the columns it computes, and a test that says when a document fails. `order_rules` measures on a sample which
+documents each rule rejects and how long it takes in the executors, and puts next, time after time, the rule that rejects most of what the rules
+before it leave, for its cost. `cascade` then applies them one after the other; the steps of a rule are computed only for documents that no
+earlier rule rejected. The order never changes which documents stay.
+
+`metrics` returns five steps for every document, so these are the cascade's first stage and always run, and the two base rules are
+judged on them; the other rules follow in the measured order, and their further steps (`n_upper`, `n_lines`) are skipped for whatever is rejected before.
 
 Words are runs of anything but ASCII white space. Defined results: null and blank texts have no words, no lines and fail `few_words`;
-repeated rows are judged alike, each for itself; an empty table gives an empty result; columns of the input named like a step
-are safe, since steps are computed under names that start with `_q_`.
+repeated rows are judged alike, each for itself; rules of equal worth keep their given order; a text is read as a whole, however long, and its words and windows
+are arrays in its row; an empty table gives an empty result; columns of the input may have any names, also those of steps or with dots, since they
+are numbered while steps stand beside them; but for one named like `out`, which the verdict replaces.
 """
 
 from __future__ import annotations
 
-import time
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import words_of, written
+from ledgerlens.llm.common import column, numbered, place_of, words_of, written
 
-#: Rows on which cost and selectivity are measured.
+#: Rows, about, on which cost and selectivity are measured, and the partitions they stand in.
 SAMPLE_ROWS = 2000
+SAMPLE_PARTS = 8
 WINDOW = 5
 
 
@@ -97,52 +101,62 @@ def with_steps(df: DataFrame, needs: tuple[str, ...], alive: Column | None = Non
     return df
 
 
-def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_q_text", text).withColumn("_q_words", words_of(F.col("_q_text")))
+def prepared(docs: DataFrame, text: Column) -> DataFrame:
+    """docs, whose columns aren't named like steps, with the text and its words."""
+    return docs.withColumn("_q_text", F.coalesce(text.cast("string"), F.lit(""))).withColumn("_q_words", words_of(F.col("_q_text")))
 
 
 def failing(rule: Rule) -> Column:
     return F.expr(_over_steps(rule.fails, rule.needs))
 
 
+def _seconds(df: DataFrame, tests: list[Column]) -> float:
+    """Seconds that tests take in the executors: of every partition from its first row to its last, by the executor's clock, the lesser of two runs."""
+    clock = F.expr("cast(reflect('java.lang.System', 'nanoTime') as bigint)")
+    spent = df.withColumn("_q_now", clock).groupBy(F.spark_partition_id().alias("part"))
+    query = spent.agg((F.max("_q_now") - F.min("_q_now")).alias("ns"), *[F.count_if(t).alias(f"t{k}") for k, t in enumerate(tests)])
+    return min(query.agg(F.coalesce(F.sum("ns"), F.lit(0))).first()[0] for _ in range(2)) / 1e9
+
+
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second on a sample of at most so many rows; ties keep their order."""
-    sample = written(docs.sample(0.2, 7).select(F.col(text_col).alias("text")).limit(rows), "sample")
-    base = prepared(sample)
-
-    def took(df: DataFrame, test: Column) -> tuple[float, int]:
-        best, found = float("inf"), 0
-        for _ in range(2):
-            began = time.perf_counter()
-            found = df.agg(F.count_if(test)).first()[0]
-            best = min(best, time.perf_counter() - began)
-        return best, found
-
-    floor, _ = took(base, F.size("_q_words") < 0)
-    worth = []
-    for rule in rules:
-        seconds, rejected = took(with_steps(base, rule.needs), failing(rule))
-        worth.append(rejected / max(seconds - floor, 1e-3))
-    return [rule for _, rule in sorted(zip(worth, rules, strict=True), key=lambda x: -x[0])]
+    """rules, each time the one with most rejections per second of those that are left, on a sample of about so many rows.
+
+    The sample is a share of the rows, drawn in every partition, so no more than about so many texts are shuffled, whatever the table's size.
+    """
+    texts = docs.select(column(text_col).cast("string").alias("text"))
+    total = texts.count()
+    sample = written(texts.sample(min(1.0, rows / max(total, 1)), 7).repartition(SAMPLE_PARTS), "sample")
+    base = prepared(sample, F.col("text"))
+    failed = F.array(*[F.coalesce(failing(r), F.lit(False)) for r in rules])
+    every = with_steps(base, tuple(n for r in rules for n in r.needs))
+    seen = every.groupBy(failed.alias("failed")).agg(F.count("*").alias("n")).collect()  # 2 ** len(rules) rows at most
+    floor = _seconds(base, [F.size("_q_words") < 0])
+    cost = [max(_seconds(with_steps(base, r.needs), [failing(r)]) - floor, 1e-4) for r in rules]
+    left, out = list(range(len(rules))), []
+    while left:
+        k = max(left, key=lambda k: (sum(r["n"] for r in seen if r["failed"][k]) / cost[k], -k))
+        seen = [r for r in seen if not r["failed"][k]]
+        left.remove(k)
+        out.append(rules[k])
+    return out
 
 
 def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", out: str = "rejected_by") -> DataFrame:
     """docs and column out, the first of rules in this order that a document fails, or null."""
-    columns = [F.col(c) for c in docs.columns if c != out]
-    df = prepared(docs, text_col).withColumn("_q_rejected", F.lit(None).cast("string"))
+    df = prepared(numbered(docs), F.col(place_of(docs, text_col))).withColumn("_q_rejected", F.lit(None).cast("string"))
     for rule in rules:
         df = with_steps(df, rule.needs, F.col("_q_rejected").isNull())
         df = df.withColumn("_q_rejected", F.coalesce("_q_rejected", F.when(failing(rule), rule.name)))
     # The second branch is never taken. It only keeps filters on the verdict from being pushed below, where each would hold all steps written out.
     verdict = F.coalesce("_q_rejected", F.when(F.spark_partition_id() < 0, "none"))
-    return df.select(*columns, verdict.alias(out))
+    return df.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() != out.lower()], verdict.alias(out))
 
 
 def metrics(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base metrics of every document and the cascade's verdict over them."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    df = with_steps(prepared(docs, text_col), base)
+    slim = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    df = with_steps(prepared(slim, F.col("text")), base)
     failed = F.lit(False)
     for rule in RULES:
         if rule.name in BASE:
@@ -153,7 +167,7 @@ def metrics(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col
             df = with_steps(df, rule.needs, F.col("_q_rejected").isNull())
             df = df.withColumn("_q_rejected", F.coalesce("_q_rejected", F.when(failing(rule), rule.name)))
     return df.select(
-        F.col(id_col).alias("doc_id"),
+        "doc_id",
         *[F.col(f"_q_{c}").alias(c) for c in base],
         F.col("_q_failed").alias("base_failed"),
         F.col("_q_rejected").isNull().alias("kept"),
