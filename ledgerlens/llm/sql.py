@@ -85,8 +85,7 @@ from d left join words using (rid) left join items using (rid)
 """
 
 OP2 = r"""
-with templates(template, licence, words) as (values TEMPLATE_ROWS),
-tt as (select template, licence, term, count(*) as n from (select template, licence, unnest(regexp_extract_all(lower(words), '[a-z0-9]+')) as term from templates) group by all),
+with tt(template, licence, size, term, n) as (values TEMPLATE_ROWS),
 f as (
   select doc_id, text,
     '/' || coalesce(source, '') || '/' || coalesce(lang, '') as top,
@@ -99,22 +98,24 @@ f as (
 held as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
 df as (select term, count(*) as n from held where term in (select term from tt) group by term),
 weights as (select distinct tt.term, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 as weight from tt cross join total left join df using (term)),
-tw as (select template, licence, term, n * weight as w from tt join weights using (term)),
-tv as (select template, licence, term, w / sqrt(sum(w * w) over (partition by template)) as t from tw),
+tw as (select template, licence, size, term, (1 + ln(n)) * weight as w from tt join weights using (term)),
+tv as (select template, licence, size, term, w / sqrt(sum(w * w) over (partition by template)) as t from tw),
 units as (
-  select distinct doc_id, unnest(list_concat(string_split(text, chr(10)), [regexp_split_to_array(text, '
-[ 	
-]*
-')[1]], case when is_licence then [text] else [] end)) as unit from files
+  select distinct doc_id, 0 as kind, unnest(string_split(text, chr(10))) as unit from files
+  union all select distinct doc_id, 1, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) from files
+  union all select doc_id, 2, text from files where is_licence
 ),
 uv as (
-  select unit, term, count(*) * coalesce(weight, (select ln(1 + n) + 1 from total)) as w, weight is not null as known
-  from (select unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) as term from (select distinct unit from units)) left join weights using (term) group by unit, term, weight
-), norms as (select unit, sqrt(sum(w * w)) as norm from uv group by unit),
-cosines as (select unit, template, licence, round(sum(w * t) / any_value(norm), 6) as cosine from uv join tv using (term) join norms using (unit) group by unit, template, licence),
+  select kind, unit, term, (1 + ln(count(*))) * coalesce(weight, (select ln(1 + n) + 1 from total)) as w, weight is not null as known
+  from (select kind, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) as term from (select distinct kind, unit from units)) left join weights using (term) group by kind, unit, term, weight
+), norms as (select kind, unit, sqrt(sum(w * w)) as norm from uv group by kind, unit),
+cosines as (
+  select kind, unit, template, licence, round(sum(w * t) / any_value(norm), 6) as cosine
+  from uv join tv on uv.term = tv.term and kind >= size join norms using (kind, unit) group by kind, unit, template, licence
+),
 own as (
-  select doc_id, cosine, licence from units join cosines using (unit) where cosine >= 0.6
-  qualify row_number() over (partition by doc_id order by cosine desc, licence) = 1
+  select doc_id, cosine, licence from units join cosines using (kind, unit) where cosine >= 0.6
+  qualify row_number() over (partition by doc_id order by kind desc, cosine desc, licence) = 1
 ), given as (
   select dir, cosine, licence from own join files using (doc_id) where is_licence
   qualify row_number() over (partition by dir order by cosine desc, licence) = 1
@@ -127,9 +128,9 @@ from files left join own using (doc_id) left join given as near on near.dir = fi
 
 
 def _template_rows() -> str:
-    from ledgerlens.llm.licenses import TEMPLATES
+    from ledgerlens.llm.licenses import template_rows
 
-    return ", ".join(f"({k}, '{licence}', '{words}')" for k, (licence, words) in enumerate(TEMPLATES))
+    return ", ".join(f"({k}, '{licence}', {kind}, '{term}', {n})" for k, licence, kind, term, n in template_rows())
 
 
 ORACLES = {
