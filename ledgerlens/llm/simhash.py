@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BROADCAST_BYTES, free_name, join_hot_aware, slices, written
+from ledgerlens.llm.common import BROADCAST_BYTES, column, free_name, join_hot_aware, slices, written
 from ledgerlens.llm.components import components
 
 #: A-Z to a-z.
@@ -63,7 +63,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fp long): the fingerprint's 64 bits as a signed number."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").cast("binary").alias("text"))
     return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -119,18 +119,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     side = stay.select("_stays")
     if held["ids"] * 64 <= BROADCAST_BYTES:
         side = F.broadcast(side)
-    kept = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["_stays"]), "left_semi")
+    kept = docs.join(side, column(id_col).cast("long").eqNullSafe(side["_stays"]), "left_semi")
     if held["most"] == 1:  # no id that stays is repeated
         return kept
     at = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     rows = written(near.groupBy("root").agg(F.min(at).alias("at")).select(F.col("at.doc_id").alias("_stays"), F.col("at.fp").alias("_fp")), "rows")
     marker = F.udf(lambda t: fingerprint(t) - (1 << 64) * (fingerprint(t) >> 63), "long", useArrow=True)
     print_col = free_name(docs, "_print")
-    printed = kept.withColumn(print_col, marker(F.col(text_col).cast("string").cast("binary")))
+    printed = kept.withColumn(print_col, marker(column(text_col).cast("string").cast("binary")))
     side = F.broadcast(rows) if rows.count() * 64 <= BROADCAST_BYTES else rows
-    ours = printed.join(side, (F.col(print_col) == side["_fp"]) & F.col(id_col).cast("long").eqNullSafe(side["_stays"]), "left_semi")
-    row = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row")
-    return ours.groupBy(F.col(id_col).alias("_id"), F.col(print_col).alias("_fp")).agg(row).select("row.*")
+    ours = printed.join(side, (F.col(print_col) == side["_fp"]) & column(id_col).cast("long").eqNullSafe(side["_stays"]), "left_semi")
+    row = F.min_by(F.struct(*map(column, docs.columns)), F.coalesce(column(text_col).cast("string"), F.lit(""))).alias("row")
+    return ours.groupBy(column(id_col).alias("_id"), F.col(print_col).alias("_fp")).agg(row).select("row.*")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

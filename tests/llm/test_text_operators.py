@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -130,6 +131,30 @@ def test_the_order_of_rules_never_changes_the_verdict(spark):
     assert sorted(forward.collect()) == sorted(backward.collect()) == sorted(judged.collect())
 
 
+CLASHES = "doc_id long, text string, _q_n_words long, _Q_TEXT string, n_words int, _0 string, `a.b` string, Rejected_By string, _SPANS int"
+
+
+def test_columns_of_any_name_are_safe(spark):
+    text = " ".join(f"word{k} and" for k in range(9))
+    df = spark.createDataFrame([(1, text, 0, "x", 3, "y", "z", "no", 7), (2, None, None, None, None, None, None, None, None)], CLASHES)
+    rows = {r["doc_id"]: r for r in quality.metrics(df, list(quality.RULES)).collect()}
+    assert (rows[1]["n_words"], rows[1]["base_failed"], rows[1]["kept"]) == (18, False, True)
+    judged = quality.cascade(df, quality.order_rules(df))
+    assert [c for c in judged.columns if c.lower() != "rejected_by"] == [c for c in df.columns if c != "Rejected_By"]
+    assert {r["doc_id"]: r["rejected_by"] for r in judged.collect()} == {1: None, 2: "few_words"}
+    empty = df.limit(0)
+    assert quality.metrics(empty, quality.order_rules(empty)).count() == 0
+    assert substring.cut(df).columns == df.columns and substring.cut(df).count() == 2
+    assert simhash.keep_one(df.union(df)).columns == df.columns and simhash.keep_one(df.union(df)).count() == 2
+    bench = spark.createDataFrame([(1, "word0 and word1"), (None, None)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.clean(df, bench).collect()] == [2]
+
+
+def test_equal_rules_keep_their_order(spark):
+    empty = documents(spark, [])
+    assert quality.order_rules(empty) == list(quality.RULES)
+
+
 # Decontamination
 
 
@@ -150,7 +175,9 @@ def slow_contamination(text, items):
     return len(words), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(words)
 
 
-def test_decontamination_against_scanning(spark):
+@pytest.mark.parametrize("broadcast_bytes", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination_against_scanning(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(5)
     items = [(i, prose(rng, 30, "abc")) for i in range(6)] + [(6, "Short ITEM here"), (7, None), (8, "..."), (9, "É É"), (None, "no id at all")]
     texts = [(i, prose(rng, 60, "abc")) for i in range(10)]
@@ -291,6 +318,7 @@ def test_archive_round_trip(spark):
     for k, _, text in rows:
         payload = (text or "").encode()
         assert (got[k]["payload_bytes"], got[k]["payload_digest"]) == (len(payload), hashlib.sha256(payload).hexdigest())
+    assert {r["url"] for r in got.values()} == {"u", "u\r\nX: y", None}
     rebuilt = {r["page_id"]: r for r in warc.rebuild(spark, path).collect()}
     for k, _, text in rows:
         head, _, body = bytes(rebuilt[k]["record"]).partition(b"\r\n\r\n")
@@ -300,6 +328,41 @@ def test_archive_round_trip(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == 4
 
 
+FORGED = "http://a.example/%41 \u0085WARC-Payload-Digest: sha256:" + "0" * 64
+URLS = [
+    FORGED, "http://b.example/\u2028WARC-Refers-To: <urn:page:77>\u2028WARC-Type: revisit", "a\nWARC-Type: revisit\r\n\r\n", "X-Target-URI-Escaped: form", "", None, "é %0D%0A + &", "\x00\x7f\t",
+]
+
+
+def test_no_url_forges_a_header(spark):
+    rows = [(k, u, f"page {k} " * 40, 1, 2) for k, u in enumerate(URLS)] + [(100 + k, u, "page 0 " * 40, 1, 2) for k, u in enumerate(URLS)] + [(None, "u", "page 1 " * 40, 1, 2), (3, "again", "x", 1, 2)]
+    path = f"{shared_dir(spark)}/archive-test-{random.random()}"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string, digest int, `a.b` int"), path)
+    got = {(r["page_id"], r["url"]): r for r in warc.read_archive(spark, path).collect()}
+    assert set(got) == {(r[0], r[1]) for r in rows} and len(got) == len(rows)
+    for page_id, url, text, *_ in rows:
+        r = got[page_id, url]
+        assert r["payload_digest"] == hashlib.sha256(text.encode()).hexdigest()
+        revisit = page_id is None or page_id >= 100
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 1 if page_id is None else 0) if revisit else ("response", None))
+
+
+def test_an_archive_that_lacks_a_payload_is_an_error(spark):
+    path = f"{shared_dir(spark)}/archive-test-{random.random()}"
+    warc.write_archive(spark.createDataFrame([(1, "u", "one" * 50), (2, "u", "two" * 50)], "page_id long, url string, html string"), path)
+    stored = spark.read.parquet(f"{path}/payloads").collect()
+    for kept in (stored[:1], [(stored[0]["digest"], b"other"), stored[1]]):
+        spark.createDataFrame(kept, "digest binary, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+        with pytest.raises(Exception, match="no payload of a record's digest"):
+            warc.read_archive(spark, path).collect()
+
+
+def test_an_empty_archive(spark):
+    path = f"{shared_dir(spark)}/archive-test-{random.random()}"
+    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_archive(spark, path).count() == warc.rebuild(spark, path).count() == 0
+
+
 # Passages
 
 
@@ -451,6 +514,76 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "id long, path string, text string")).count() == 0
 
 
+BSD_2 = f"Copyright (c) 2020, Ann\nAll rights reserved.\n\n{licenses.BSD_HEAD}\n\n{licenses.BSD_TAIL}"
+BSD_3 = f"Copyright (c) 2021, Bob\n\n{licenses.BSD_HEAD}\n\n{licenses.BSD_NAMES}\n\n{licenses.BSD_TAIL}"
+
+
+def whole_licence(name):
+    return (licenses.TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+
+
+def fsf_header(what, name, version):
+    grant, rest = (x.format(what=what, name=name, version=version) for x in (licenses.GNU_GRANT, licenses.GNU_REST))
+    return "\n".join(f"# {line.strip()}" for line in f"a.py\nCopyright 2001 Ann\n{grant}\n{rest}".split("\n")) + "\nimport os\n"
+
+
+def test_licence_texts_and_headers(spark):
+    rng = random.Random(31)
+    affero = whole_licence("GPL-3.0").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("GNU General Public License", "GNU Affero General Public License")
+    affero = f"{affero[:-4000]}\n\n{licenses.AFFERO}"
+    english = " ".join(rng.choice("the of and to a in is it that for with on as are this by be or not was we you can from have if one all which will other use".split()) for _ in range(800))
+    files = {
+        "/a/COPYING": (whole_licence("GPL-3.0"), "GPL-3.0"), "/b/COPYING": (whole_licence("GPL-2.0"), "GPL-2.0"), "/c/LICENSE": (BSD_2, "BSD-2-Clause"), "/d/LICENSE": (BSD_3, "BSD-3-Clause"),
+        "/e/LICENSE.txt": (whole_licence("Apache-2.0"), "Apache-2.0"), "/f/COPYING": (whole_licence("LGPL-2.1"), "LGPL-2.1"), "/g/COPYING": (affero, "AGPL-3.0"), "/h/LICENSE": (whole_licence("MPL-2.0"), "MPL-2.0"),
+        "/i/LICENSE": ("Copyright 2020 Ann\n\n" + dict(licenses.HEADERS)["MIT"], "MIT"), "/j/LICENSE": (dict(licenses.HEADERS)["ISC"], "ISC"), "/k/COPYING.LESSER": (whole_licence("LGPL-3.0"), "LGPL-3.0"),
+        "/s/a.py": (fsf_header("program", "General Public License", "3"), "GPL-3.0"), "/s/b.py": (fsf_header("program", "General Public License", "2"), "GPL-2.0"),
+        "/s/c.py": (fsf_header("library", "Lesser General Public License", "2.1"), "LGPL-2.1"), "/s/d.py": ("# SPDX-License-Identifier: EPL-2.0\nx = 1", "EPL-2.0"), "/s/e.py": (english, None), "/t/LICENSE": (english, None),
+        "/a/x/y.c": ("int x;", "GPL-3.0"), "/c/q.c": (None, "BSD-2-Clause"), "/s/f.py": ("  \n\n", None),
+    }
+    rows = [(k, path, text, 1, 2) for k, (path, (text, _)) in enumerate(files.items())]
+    rows += [(500 + k, f"/n/{k}.txt", prose(rng, 60, "abcdefghijklmnop"), 1, 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, path string, text string, _licence int, `near.b` int")
+    got = {r["path"]: r["licence"] for r in licenses.scan(df).collect()}
+    assert {p: got[p] for p in files} == {p: licence for p, (_, licence) in files.items()}
+    assert all(got[f"/n/{k}.txt"] is None for k in range(60))
+
+
+def slow_cosines(files, whole):
+    """Best (kind, cosine, licence) of every text against all templates, without any pruning."""
+    weights, other = whole
+    out = []
+    vectors = licenses.vectors_of(weights)
+    for path, text in files:
+        found = []
+        named = bool(re.search(licenses.LICENCE_FILE, path))
+        for kind, units in enumerate((text.split("\n"), re.split("\n[ \t\r]*\n", text), [text] if named else [])):
+            for unit in units:
+                counts = Counter(licenses.terms(unit))
+                own = {t: (1 + math.log(n)) * weights.get(t, other) for t, n in counts.items()}
+                norm = math.sqrt(sum(w * w for w in own.values()))
+                for licence, size, vector in vectors:
+                    cosine = round(sum(w * own.get(t, 0) for w, t in vector) / norm, 6) if norm else 0
+                    if size <= kind and cosine >= licenses.THRESHOLD:
+                        found.append((-kind, -cosine, licence))
+        out.append(min(found) if found else None)
+    return out
+
+
+def test_licence_pruning_loses_nothing(spark):
+    rng = random.Random(37)
+    vocabulary_of = sorted({t for _, kind, text in licenses.templates() if kind < licenses.WHOLE for t in licenses.terms(text)})
+    files = []
+    for k in range(60):
+        _, _, text = rng.choice([t for t in licenses.templates() if t[1] < licenses.WHOLE])
+        words = [w for w in text.split() if rng.random() < 0.8] + rng.choices(vocabulary_of, k=rng.randrange(12))
+        files.append((f"/d{k}/" + rng.choice(["LICENSE", "x.c"]), "\n".join([prose(rng, 5), " ".join(words), "", prose(rng, 9)])))
+    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(files)], "id long, path string, text string")
+    wanted = slow_cosines(files, licenses.term_weights(df))
+    got = {r["id"]: (r["licence"], r["cosine"]) for r in licenses.own_licences(df).collect()}
+    assert got == {k: (w[2], -w[1]) for k, w in enumerate(wanted) if w}
+    assert 20 < len(got)
+
+
 # Pipeline
 
 
