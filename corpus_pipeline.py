@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, decontaminate, quality, simhash, substring
-from ledgerlens.llm.common import free_name, shared_dir, table
+from ledgerlens.llm.common import column, free_name, shared_dir, table
 from ledgerlens.llm.queries import vocabulary
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass all rules."""
     verdict = free_name(docs, "rejected_by")
     judged = quality.cascade(docs, quality.order_rules(docs), out=verdict)
-    return judged.where(F.col(verdict).isNull()).select(docs.columns)
+    return judged.where(F.col(verdict).isNull()).select(*map(column, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
