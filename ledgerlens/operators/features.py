@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.entropy import binned_entropy
 from ledgerlens.functions.numeric import as_double, finite_or_zero
+from ledgerlens.functions.storage import stored
 
 #: Columns of the account features, in order.
 ACCOUNT_FEATURES = (
@@ -93,25 +94,24 @@ def clean_numeric(df: DataFrame) -> DataFrame:
 
 
 def _one_way(tx: DataFrame, account: str, other: str, amount: str, way: str, partners: str) -> DataFrame:
-    """All features of one direction: totals, entropy of amounts, partners and their concentration, each by two-step aggregates over the account."""
-    keyed = tx.dropna(subset=[account])
-    money = keyed.groupBy(F.col(account).alias("account")).agg(
-        F.count("*").alias(f"total_{way}_tx"),
-        F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias(f"total_{way}_amt"),
-        F.max(amount).cast("double").alias(f"max_{way}_amt"),
-    )
-    bits = binned_entropy(keyed.select(F.col(account).alias("account"), amount), "account", amount, "_entropy")
-    money = money.join(bits.withColumn(f"entropy_{way}_amt", F.round("_entropy", 6)).drop("_entropy"), "account")
-    pairs = keyed.select(F.col(account).alias("account"), F.col(other).alias("partner")).groupBy("account", "partner").agg(F.count("*").alias("c"))
+    """All features of one direction. Totals, partners and their concentration come from one aggregate by pair, so a busy account's rows are added up before they meet."""
+    keyed = tx.dropna(subset=[account]).select(F.col(account).alias("account"), F.col(other).alias("partner"), F.col(amount).alias("amount"))
+    pairs = keyed.groupBy("account", "partner").agg(F.count("*").alias("c"), F.sum("amount").alias("s"), F.max("amount").alias("m"))
     c = F.col("c").cast("double")
-    mixed = pairs.groupBy("account").agg(
-        F.count("partner").alias(partners), F.round(F.sum(c * c) / (F.sum(c) * F.sum(c)), 6).alias(f"hhi_{way}")
+    money = pairs.groupBy("account").agg(
+        F.sum("c").alias(f"total_{way}_tx"),
+        F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias(f"total_{way}_amt"),
+        F.max("m").cast("double").alias(f"max_{way}_amt"),
+        F.count("partner").alias(partners),
+        F.round(F.sum(c * c) / (F.sum(c) * F.sum(c)), 6).alias(f"hhi_{way}"),
     )
-    return money.join(mixed, "account")
+    bits = binned_entropy(keyed, "account", "amount", "_entropy")
+    return money.join(bits.select("account", F.round("_entropy", 6).alias(f"entropy_{way}_amt")), "account")
 
 
 def account_features(tx: DataFrame) -> DataFrame:
     """One row per account that sends or receives: counts, sums, maxima and entropies each way, net flow, partners and their concentration."""
+    tx = stored(tx.select("account", "account_1", "amount_paid", "amount_received"), "amounts")  # read four times, for totals and entropy each way
     out = _one_way(tx, "account", "account_1", "amount_paid", "out", "unique_receivers")
     into = _one_way(tx, "account_1", "account", "amount_received", "in", "unique_senders")
     both = out.join(into, "account", "full")

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.neighbours import neighbours
+from ledgerlens.functions.neighbours import core_links, dense_points, least_label, neighbours
 from ledgerlens.functions.numeric import as_double, skewness
 from ledgerlens.functions.quantiles import exact_quantiles
-from ledgerlens.functions.ranks import ranked_values
+from ledgerlens.functions.ranks import ranked_columns
 from ledgerlens.functions.storage import stored
 
 DETECTORS = ("iforest", "lof", "copod")
@@ -30,10 +30,11 @@ def copod_scores(df: DataFrame, columns: list[str], score: str = "copod_score")
     """Copula-based outlier score: per column the negative logs of both tails' empirical probabilities; a column counts with the tail
     that its skewness names, or with the mean of both if that is more; columns add up. Each column is ranked over its different values."""
     n = df.count()
+    ranks = ranked_columns(df, columns)
     signs = df.agg(*[F.signum(skewness(c)).alias(c) for c in columns]).first()
     out, parts = df, []
     for c in columns:
-        side = ranked_values(df, c).select(
+        side = ranks.where(F.col("column") == c).select(
             F.col("value").alias("_v"),
             (-F.log((F.col("before") + F.col("n")) / F.lit(float(n)))).alias(f"_l_{c}"),
             (-F.log((F.lit(float(n)) - F.col("before")) / F.lit(float(n)))).alias(f"_r_{c}"),
@@ -84,56 +85,52 @@ def lof_scores(df: DataFrame, columns: list[str], k: int = 20, score: str = "lof
     return keyed.join(ratio, keyed["_key"] == ratio["_k"], "left").select(*df.columns, score)
 
 
-def _moved(i: int):
-    """A transform that moves coordinate i by the column _s."""
-    return lambda v, j: F.when(j == i, v + F.col("_s")).otherwise(v)
-
-
 def dbscan(df: DataFrame, columns: list[str], eps: float, least: int) -> DataFrame:
     """df with cluster: -1 for noise, else the rank of the cluster by its smallest core point.
 
-    Points lie in a grid of cells of side eps; a point meets the points of the 3**d cells around it. Core points have `least` rows within eps, themselves
-    included; clusters are the components of core points; a border point belongs to the smallest cluster that reaches it.
+    Core points have `least` rows within eps, themselves included; clusters are the components of core points; a border point belongs to the smallest cluster that reaches it.
+    Points are sent to the cells that a ball of eps reaches; neighbours are counted, and links thinned to stars, within cells, so no pairs of points are written.
     """
+    marked, cells = dense_points(df, columns, eps, least)
+    marked = stored(marked, "points")
+    roots = _components(stored(core_links(marked, cells, eps), "links"))
+    core = marked.where("core").join(roots, F.col("key") == F.col("vertex"), "left").select("key", F.coalesce("root", "key").alias("root"))
+    clusters = stored(core.select("root").distinct(), "clusters")
+    ranks = _placed_in_order(clusters, "root")
+    labels = stored(core.join(ranks, "root").select("key", F.col("place").alias("label")), "labels")
+    found = labels.unionByName(least_label(marked, labels, cells, eps)).select(F.col("key").alias("_k"), "label")
     keyed = _keyed(df, columns)
-    unlike = keyed.groupBy("_key").agg(F.count("*").alias("n"))
-    cell = F.transform("_key", lambda v: F.floor(v / eps))
-    own = unlike.select("_key", "n", cell.alias("cell"))
-    around = own
-    for i in range(len(columns)):
-        step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-        around = around.withColumn("_s", step).withColumn("cell", F.transform("cell", _moved(i))).drop("_s")
-    distance = F.sqrt(F.aggregate(F.zip_with("_key", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    near = (
-        around.select("_key", "cell")
-        .join(own.select(F.col("_key").alias("other"), F.col("n").alias("m"), "cell"), "cell")
-        .where(distance <= eps)
-        .select("_key", "other", "m")
-    )
-    core = near.groupBy("_key").agg(F.sum("m").alias("rows")).where(F.col("rows") >= least).select("_key")
-    reach = near.join(core.select(F.col("_key").alias("other")), "other", "left_semi")  # pairs whose second is core
-    links = reach.join(core, "_key", "left_semi").select("_key", "other")
-    label = _least_reached(core, links)
-    joined = reach.join(label.select(F.col("_key").alias("other"), "root"), "other").groupBy("_key").agg(F.min("root").alias("root"))
-    rank = F.dense_rank().over(W.orderBy("root")) - 1  # over the clusters
-    numbers = joined.select("root").distinct().withColumn("cluster", rank)
-    found = joined.join(numbers, "root").select(F.col("_key").alias("_k"), "cluster")
-    return keyed.join(found, F.col("_key") == F.col("_k"), "left").select(*df.columns, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
-
-
-def _least_reached(vertices: DataFrame, links: DataFrame, most: int = 100) -> DataFrame:
-    """(_key, root): the smallest vertex that links reach, by passing on minima until nothing changes. Rounds are tables of the shared folder."""
-    links = stored(links, "links")
-    label = stored(vertices.select("_key", F.col("_key").alias("root")), "labels")
+    return keyed.join(found, F.col("_key") == F.col("_k"), "left").select(*df.columns, F.coalesce("label", F.lit(-1)).cast("int").alias("cluster"))
+
+
+def _placed_in_order(df: DataFrame, column: str) -> DataFrame:
+    """df with place, the number of rows before each in the column's order: running numbers in sorted ranges, and the ranges' sizes, a number each, added up."""
+    ranged = stored(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    first, total = {}, 0
+    for k in sorted(sizes):
+        first[k], total = total, total + sizes[k]
+    bases = df.sparkSession.createDataFrame([*first.items()] or [(-1, 0)], "_range int, _base long")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(column)) - 1
+    return ranged.join(F.broadcast(bases), "_range").select(*df.columns, (F.col("_base") + own).alias("place"))
+
+
+def _components(links: DataFrame, most: int = 60) -> DataFrame:
+    """(vertex, root) of every vertex in links (u, v); root is the smallest of its component. Large and small stars in turn, each round a table of the shared folder."""
+    a, b = F.col("u"), F.col("v")
+    edges = stored(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    before = None
     for _ in range(most):
-        passed = links.join(label.select(F.col("_key").alias("other"), "root"), "other").groupBy("_key").agg(F.min("root").alias("there"))
-        better = label.join(passed, "_key", "left").select("_key", F.least("root", F.coalesce("there", "root")).alias("root"))
-        jump = better.join(better.select(F.col("_key").alias("root"), F.col("root").alias("next")), "root").select("_key", F.col("next").alias("root"))
-        now = stored(jump, "labels")
-        changed = now.join(label.withColumnRenamed("root", "was"), "_key").where(F.col("was") != F.col("root")).limit(1).count()
-        label = now
-        if not changed:
-            return label
+        around = edges.select("u", "v").union(edges.select("v", "u"))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        edges = stored(around.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        edges = stored(moved.where("u != v").distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+        before = now
     raise RuntimeError("no components")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import as_double, kurtosis, quantile, share, skewness
 from ledgerlens.functions.quantiles import exact_quantiles
-from ledgerlens.functions.ranks import ranked_values
+from ledgerlens.functions.ranks import ranked_columns
 from ledgerlens.operators.prep import numeric_columns
 
 #: Fixed value: the words that make a column's name that of an id.
@@ -235,8 +235,9 @@ def _varying(df: DataFrame, columns: list[str]) -> list[str]:
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """df's columns as average ranks, each taken over the column's different values."""
     out = df.select(*[as_double(c).alias(c) for c in columns])
+    every = ranked_columns(df, columns)
     for c in columns:
-        ranks = ranked_values(df, c).select(F.col("value").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
+        ranks = every.where(F.col("column") == c).select(F.col("value").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
         out = out.join(ranks, F.col(c) == F.col("_v"), "left").select(*[F.col("_rank").alias(c) if k == c else F.col(k) for k in columns])
     return out
 
