@@ -10,13 +10,16 @@ the article, and elements whose class, id or role names an advert, notice, menu,
 so, names are disregarded. Inline tags and `<br>` don't end a block; each other tag does. Character references are decoded as in HTML5,
 white space in a block is one space, blank blocks are dropped and the rest is joined by line breaks.
 
-Defined results: null and empty pages, and pages without text, have an empty text; a page without tags is all text; unclosed elements end with their parents, an
+Paths are numbered within a page, and no step walks up or down an element's ancestors, so that deep nesting costs time and memory in proportion to the page.
+
+Defined results: a page is read as a whole, however long; of containers with equal credit the first in the page counts, of a host's paths with equal votes the smallest; null and empty pages, and pages without text, have an empty text; a page without tags is all text; unclosed elements end with their parents, an
 unfinished tag at the end is markup; a null url belongs to a host of its own kind; repeated rows are extracted alike; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import sys
@@ -52,6 +55,8 @@ CONTAINERS = frozenset("body main article section div td".split())
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: A paragraph's or item's end tag ends none that is open outside of these.
+BARRIERS = frozenset("td th article main body".split())
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -71,14 +76,6 @@ SPLIT_NAME = re.compile(r"[^a-z]+")
 NUMBER = re.compile(r"\d+")
 
 
-class Element:
-    __slots__ = ("tag", "path", "parent", "words", "dropped", "named", "in_article")
-
-    def __init__(self, tag, path, parent, dropped, named, in_article):
-        self.tag, self.path, self.parent, self.words = tag, path, parent, 0
-        self.dropped, self.named, self.in_article = dropped, named, in_article
-
-
 def _attributes(rest: str) -> tuple[list[str], str, str, bool]:
     classes, name, role, hidden = [], "", "", False
     for m in ATTRIBUTE.finditer(rest):
@@ -94,22 +91,97 @@ def _attributes(rest: str) -> tuple[list[str], str, str, bool]:
     return classes, name, role, hidden
 
 
-def parse(source: str) -> tuple[list[Element], list[tuple[Element, str]]]:
-    """All containers, and the page's blocks in order, each with the innermost element that holds it."""
-    root = Element("body", "body", None, False, False, False)
-    containers, blocks, stack, pieces = [root], [], [root], []
+class Page:
+    """A page's elements, in order and parents first, each a place in these lists; and its blocks, each with the innermost element that holds it."""
+
+    def __init__(self):
+        self.tag, self.parent, self.path, self.dropped, self.named, self.in_article = ["body"], [-1], [0], [False], [False], [False]
+        self.box, self.outer = [0], [-1]  # the nearest container at or above an element, and the outermost article or main element
+        self.steps: dict[tuple[int, str], int] = {(-1, "body"): 0}  # paths are numbered: a path is its parent's number and a step
+        self.names = [(-1, "body")]
+        self.blocks: list[tuple[int, str]] = []
+
+    def add(self, tag: str, parent: int, step: str, dropped: bool, named: bool, in_article: bool) -> int:
+        at = len(self.tag)
+        key = (self.path[parent], step)
+        number = self.steps.setdefault(key, len(self.names))
+        if number == len(self.names):
+            self.names.append(key)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(number)
+        self.dropped.append(dropped)
+        self.named.append(named)
+        self.in_article.append(in_article)
+        self.box.append(at if tag in CONTAINERS else self.box[parent])
+        self.outer.append(at if tag in ("article", "main") and self.outer[parent] < 0 else self.outer[parent])
+        return at
+
+    def spelt(self, number: int) -> str:
+        """A path as text."""
+        out = []
+        while number >= 0:
+            number, step = self.names[number]
+            out.append(step)
+        return "/".join(reversed(out))
+
+    def numbered(self, path: str) -> int:
+        """The number of a path in this page, or -1."""
+        number = -1
+        for step in path.split("/"):
+            found = self.steps.get((number, step))
+            if found is None:
+                return -1
+            number = found
+        return number
+
+    def below(self, number: int) -> list[bool]:
+        """Of each element whether it is, or stands below, one with this path."""
+        out: list[bool] = []
+        for up, own in zip(self.parent, self.path, strict=True):
+            out.append(own == number or (up >= 0 and out[up]))
+        return out
+
+
+class Open:
+    """The open elements, from the outermost in. Where the innermost of a tag stands is known without a walk, so that pages nested by the thousand cost no more than others."""
+
+    def __init__(self):
+        self.element, self.tag = [0], ["body"]
+        self.places: dict[str, list[int]] = {"body": [0]}
+
+    def push(self, element: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tag))
+        self.element.append(element)
+        self.tag.append(tag)
+
+    def close(self, to: int) -> None:
+        """End the elements from place to on, the body aside."""
+        while len(self.tag) > max(to, 1):
+            self.places[self.tag.pop()].pop()
+            self.element.pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def first_behind(self, tags, place: int) -> int:
+        """The outermost place of any of the tags behind a place, or -1."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect.bisect_right(p, place)) < len(p)]
+        return min(found, default=-1)
+
+
+def parse(source: str) -> Page:
+    page, stack, pieces = Page(), Open(), []
+    at = 0
 
     def flush():
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                blocks.append((stack[-1], text))
+                page.blocks.append((stack.element[-1], text))
             pieces.clear()
 
-    def close(to):
-        del stack[max(to, 1) :]
-
-    at = 0
     for m in PART.finditer(source):
         if m.start() > at:
             pieces.append(source[at : m.start()])
@@ -126,103 +198,79 @@ def parse(source: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if tag in ("html", "body"):
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("td", "th", "article", "main", "body") and tag in ("p", "li"):
-                    break
+            k = stack.last((tag,))
+            if k > 0 and not (tag in ("p", "li") and stack.last(BARRIERS) > k):
+                stack.close(k)
             continue
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in CONTAINERS:
-                    break
+            k = stack.last(("p",))
+            if k > stack.last(CONTAINERS):
+                stack.close(k)
         if tag in SIBLINGS:
             same, parents = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in same:
-                    close(k)
-                    if tag != "tr":
-                        break
-                elif stack[k].tag in parents:
-                    break
-        if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "noscript", "template"):
-            close(len(stack) - 1)
+            inner = stack.last(parents)
+            k = stack.first_behind(same, inner) if tag == "tr" else stack.last(same)
+            if k > inner:
+                stack.close(k)
+        if stack.tag[-1] == "head" and tag not in ("meta", "link", "base", "title", "noscript", "template"):
+            stack.close(len(stack.tag) - 1)
         if tag in VOID:
             continue
-        up, rest = stack[-1], m["rest"]
+        up, rest = stack.element[-1], m["rest"]
         classes, name, role, hidden = _attributes(rest) if rest else ([], "", "", False)
-        in_article = up.in_article or tag in ("article", "main")
-        dropped = up.dropped or tag in NEVER or hidden or role in ROLES or (tag == "header" and not in_article)
-        named = up.named or (
+        in_article = page.in_article[up] or tag in ("article", "main")
+        dropped = page.dropped[up] or tag in NEVER or hidden or role in ROLES or (tag == "header" and not in_article)
+        named = page.named[up] or (
             bool(classes or name)
             and tag not in ("article", "main")
             and any(w in NAMES for c in (*classes, name) for w in SPLIT_NAME.split(c))
         )
-        step = tag + "".join(f".{c}" for c in sorted({NUMBER.sub("#", c) for c in classes}))
-        made = Element(tag, f"{up.path}/{step}", up, dropped, named, in_article)
-        if tag in CONTAINERS:
-            containers.append(made)
+        step = tag + "".join(f".{c}" for c in sorted({NUMBER.sub("#", c).replace("/", "|") for c in classes}))
+        made = page.add(tag, up, step, dropped, named, in_article)
         if not rest.endswith("/") or tag not in ("svg", "path"):
-            stack.append(made)
+            stack.push(made, tag)
     if at < len(source):
         pieces.append(source[at:])
     flush()
-    return containers, blocks
+    return page
 
 
-def _kept(blocks) -> list[tuple[Element, str]]:
+def _kept(page: Page) -> list[tuple[int, str]]:
     """The blocks that aren't left out by their tags and names, or by their tags alone if that leaves none."""
-    by_tag = [b for b in blocks if not b[0].dropped]
-    return [b for b in by_tag if not b[0].named] or by_tag
+    by_tag = [b for b in page.blocks if not page.dropped[b[0]]]
+    return [b for b in by_tag if not page.named[b[0]]] or by_tag
 
 
-def best_container(containers: list[Element], kept: list[tuple[Element, str]]) -> Element:
-    """The container with most credit: two for each word directly below it, one for each word below a container in it. An article or main element around it stands for it."""
+def best_container(page: Page, kept: list[tuple[int, str]]) -> int:
+    """The container with most credit: two for each word directly below it, one for each word below a container in it; the first of equals. An article or main element around it stands for it."""
+    credit: dict[int, int] = {}
     for element, text in kept:
-        words, credit = text.count(" ") + 1, 2
-        while element is not None and credit:
-            if element.tag in CONTAINERS:
-                element.words += credit * words
-                credit -= 1
-            element = element.parent
-    best = max(containers, key=lambda c: c.words)
-    around = best
-    while around is not None:
-        if around.tag in ("article", "main"):
-            best = around
-        around = around.parent
-    return best
-
-
-def _below(element: Element, path: str) -> bool:
-    while element is not None:
-        if element.path == path:
-            return True
-        element = element.parent
-    return False
+        words, box = text.count(" ") + 1, page.box[element]
+        credit[box] = credit.get(box, 0) + 2 * words
+        if page.parent[box] >= 0:
+            around = page.box[page.parent[box]]
+            credit[around] = credit.get(around, 0) + words
+    best = min(credit, key=lambda k: (-credit[k], k))
+    return page.outer[best] if page.outer[best] >= 0 else best
 
 
 def vote(source: str) -> str | None:
-    containers, blocks = parse(source)
-    kept = _kept(blocks)
-    return best_container(containers, kept).path if kept else None
+    page = parse(source)
+    kept = _kept(page)
+    return page.spelt(page.path[best_container(page, kept)]) if kept else None
 
 
 def extract(source: str, paths: list[str]) -> str:
-    containers, blocks = parse(source)
-    kept = _kept(blocks)
+    page = parse(source)
+    kept = _kept(page)
     if not kept:
         return ""
-    own = {c.path for c in containers}
-    for path in paths:
-        if path in own and (found := [text for element, text in kept if _below(element, path)]):
-            return "\n".join(found)
-    best = best_container(containers, kept).path
-    return "\n".join(text for element, text in kept if _below(element, best))
+    for number in (*map(page.numbered, paths), page.path[best_container(page, kept)]):
+        if number >= 0:
+            below = page.below(number)
+            if found := [text for element, text in kept if below[element]]:
+                break
+    return "\n".join(found)
 
 
 def host(url: Column) -> Column:
@@ -248,10 +296,11 @@ def _votes(batches):
 def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, paths, n): each host's winning paths, most votes first, and its number of votes."""
     slim = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = slim.mapInArrow(_votes, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    ranked = votes.groupBy("host").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "path"))).alias("all"))
-    won = F.filter("all", lambda v: -v["m"] >= F.col("n") * WINNING_SHARE)
-    return written(ranked.select("host", F.transform(won, lambda v: v["path"]).alias("paths"), "n"), "paths")
+    votes = written(slim.mapInArrow(_votes, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n")), "votes")
+    total = votes.groupBy("host").agg(F.sum("n").alias("total"))
+    won = votes.join(total, "host").where(F.col("n") >= F.col("total") * WINNING_SHARE)  # ten paths of a host at most
+    ranked = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "path"))).alias("all"), F.first("total").alias("n"))
+    return written(ranked.select("host", F.transform("all", lambda v: v["path"]).alias("paths"), "n"), "paths")
 
 
 def _texts(batches):
