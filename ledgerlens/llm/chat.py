@@ -20,18 +20,23 @@ node's path. The order is a range sort by path and depth, places are running sum
 sizes are a two-step sum over each segment's ancestors. A first turn that very many conversations share is one node, and joins on it are salted.
 
 Defined results: null texts and roles are empty; turns are in the order of turn, then role, then text, nulls first; rows that repeat a turn are
-turns of their own; conversations that are equal share all nodes; a null conv_id is a conversation of its own; an empty table gives empty results; further columns are ignored.
+turns of their own; conversations that are equal share all nodes; each row with a null conv_id is a conversation of its own, under that id, so that no task gathers them; of
+nodes no order is left open, since a node's name fixes its place; a turn's text is read as a whole, however long, and a conversation's turns stand in one row; an empty table gives
+empty results; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,6 +45,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import join_hot_aware, join_salted, slices, written
 
 STEP = 16
+#: Conversations, or ways down the tree, and nodes that a worker has as Python objects at once.
+CONVERSATIONS, NODES = 64, 512
 LEARNT = "assistant"
 HEAD, TAIL = "<|im_start|>", "<|im_end|>\n"
 
@@ -58,32 +65,33 @@ def frame(role: str, text: str) -> tuple[str, str, str]:
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns): each conversation's turns in order."""
+    """(conv_id, alone, turns): each conversation's turns in order; alone tells rows without an id apart."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *text)
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), alone, F.col("turn").cast("long").alias("turn"), *text)
+    return rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
 def _named(batches):
     """A row per turn, with the digest of all turns up to it and that of all before."""
-    for batch in batches:
+    names = ["conv_id", "alone", "node", "parent", "depth", "role", "text", "last"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+    for batch in (whole.slice(k, CONVERSATIONS) for whole in batches for k in range(0, whole.num_rows, CONVERSATIONS)):
         out = []
-        for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for conv, alone, turns in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             parent = None
             for depth, t in enumerate(turns):
                 role, text = t["role"], t["text"]
                 node = hashlib.sha256((parent or b"") + f"{len(role)} {role}{text}".encode()).digest()[:STEP]
-                out.append((conv, node, parent, depth, role, text, depth == len(turns) - 1))
+                out.append((conv, alone, node, parent, depth, role, text, depth == len(turns) - 1))
                 parent = node
-        names = ["conv_id", "node", "parent", "depth", "role", "text", "last"]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        columns = list(zip(*out, strict=True)) if out else [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _segmented(batches):
     """A row per node of the given ways down the tree, with the path of its segment."""
-    for batch in batches:
+    for batch in (whole.slice(k, CONVERSATIONS) for whole in batches for k in range(0, whole.num_rows, CONVERSATIONS)):
         nodes, paths = [], []
         for way in batch.column(0).to_pylist():
             path, shared = b"", None
@@ -142,7 +150,7 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
 
     turns = written(
         _turns(conversations).mapInArrow(
-            _named, "conv_id long, node binary, parent binary, depth long, role string, text string, last boolean"
+            _named, "conv_id long, alone long, node binary, parent binary, depth long, role string, text string, last boolean"
         ),
         "turns",
     )
@@ -156,7 +164,7 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
         "laid",
     )
 
-    lines = written(ways(turns.where("last").select("conv_id", "node"), turns), "ways")
+    lines = written(ways(turns.where("last").select("conv_id", "alone", "node"), turns), "ways")
     sizes = lines.groupBy("node").agg(F.count("*").alias("n"))
     shared = laid.select("node", F.col("n_refs").alias("n"))
     steps = join_salted(lines, shared, "node", sizes, lines.count())
@@ -206,9 +214,21 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
 
 
 def ways(members: DataFrame, steps: DataFrame) -> DataFrame:
-    """(leaf, depth, node): the nodes of every different conversation, from the rows (conv_id, depth, node) of one conversation for each."""
-    one = members.groupBy(F.col("node").alias("leaf")).agg(F.min("conv_id").alias("_conv"))
-    return steps.join(one, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("leaf", "depth", "node")
+    """(leaf, depth, node): the nodes of every different conversation, from the rows (conv_id, alone, depth, node) of one conversation for each."""
+    one = members.groupBy(F.col("node").alias("leaf")).agg(F.min(F.struct("conv_id", "alone")).alias("_one"))
+    same = F.col("conv_id").eqNullSafe(F.col("_one.conv_id")) & F.col("alone").eqNullSafe(F.col("_one.alone"))
+    return steps.join(one, same).select("leaf", "depth", "node")
+
+
+def token_bytes(spec: str) -> list[bytes]:
+    """What each token of a byte-level vocabulary stands for; decoding is putting these together."""
+    file = json.loads(spec)
+    if (file.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("the vocabulary's decoder isn't byte-level")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others are letters from U+0100 on, in order
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    named = {**{i: bytes(byte[c] for c in t) for t, i in file["model"]["vocab"].items()}, **{x["id"]: x["content"].encode() for x in file["added_tokens"]}}
+    return [named.get(i, b"") for i in range(max(named) + 1)]
 
 
 def read_nodes(nodes: DataFrame, vocabulary: str) -> DataFrame:
@@ -216,21 +236,24 @@ def read_nodes(nodes: DataFrame, vocabulary: str) -> DataFrame:
     spec = nodes.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batches):
-        tokenizer = _tokenizer(spec.value)
-        for batch in batches:
-            ids, low, high = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
-            masked = tokenizer.decode_batch([x[a:b] for x, a, b in zip(ids, low, high, strict=True)], skip_special_tokens=False)
-            roles, bodies = [], []
-            for text in texts:
+        said = pa.array(token_bytes(spec.value), pa.binary())
+        size = np.array([len(t) for t in said.to_pylist()])
+        for batch in (whole.slice(k, NODES) for whole in batches for k in range(0, whole.num_rows, NODES)):
+            ids = batch.column(2)
+            flat, ends = ids.flatten(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), said.take(flat)), b"").to_pylist()
+            upto = np.append(0, np.cumsum(size[flat.to_numpy()]))
+            low, high = (upto[ends[:-1] + batch.column(k).to_numpy()] - upto[ends[:-1]] for k in (3, 4))
+            roles, bodies, loss, chars = [], [], [], []
+            for whole_text, a, b in zip(texts, low.tolist(), high.tolist(), strict=True):
+                text = whole_text.decode()
                 role, _, body = text[len(HEAD) : -len(TAIL)].partition("\n")
                 roles.append(unescape(role))
                 bodies.append(unescape(body))
-            loss = [unescape(m) if r == LEARNT else None for m, r in zip(masked, roles, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(bodies, pa.string()), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["path", "depth", "role", "text", "loss", "n_chars"],
-            )
+                loss.append(unescape(whole_text[a:b].decode()) if roles[-1] == LEARNT else None)
+                chars.append(len(text))
+            columns = [pa.array(roles, pa.string()), pa.array(bodies, pa.string()), pa.array(loss, pa.string()), pa.array(chars, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["path", "depth", "role", "text", "loss", "n_chars"])
 
     slim = nodes.select("path", "depth", "token_ids", "loss_from", "loss_until")
     return slim.mapInArrow(run, "path binary, depth long, role string, text string, loss string, n_chars long")
