@@ -83,18 +83,17 @@ def join_hot_aware(left: DataFrame, right: DataFrame, key: str, size: str, total
     """left joined with right, which has one row per key and in column size the number of left's rows with that key.
 
     Keys with more than total/HOT_SHARE rows, at most HOT_SHARE of them, are broadcast; the others are shuffled. Rows of left with a
-    hot key take a key of their own in the shuffle, so that no task gets them together. size isn't in the result.
+    hot key, or with none, are shuffled by a digest of the whole row, so that no task gets them together; the digest is the same if a task is run again. size isn't in the result.
     """
     fields = [c for c in right.columns if c not in (key, size)]
     limit = max(1, total // HOT_SHARE)
     packed = right.select(F.col(key), F.col(size), F.struct(*fields).alias("_side"))
     hot = packed.where(F.col(size) > limit).select(F.col(key).alias("_hot"), F.col("_side").alias("_hot_side"))
-    cold = packed.where(F.col(size) <= limit).select(F.col(key).alias("_cold"), F.col("_side").alias("_cold_side"))
+    cold = packed.where(F.col(size) <= limit).select(F.xxhash64(key).alias("_there"), F.col(key).alias("_cold"), F.col("_side").alias("_cold_side"))
     out = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)))
-    out = out.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise((F.rand(7) * 1000).cast("int")))
-    cold = cold.withColumn("_none", F.lit(0))
-    out = out.join(cold, (F.col("_at") == F.col("_cold")) & (F.col("_spread") == F.col("_none")), "left")
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_at", F.when(alone, F.xxhash64(*left.columns)).otherwise(F.xxhash64(key)))
+    out = out.join(cold, (F.col("_at") == F.col("_there")) & (F.col(key) == F.col("_cold")), "left")
     out = out.withColumn("_side", F.coalesce("_hot_side", "_cold_side"))
     if how == "inner":
         out = out.where(F.col("_side").isNotNull())

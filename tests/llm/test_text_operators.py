@@ -5,13 +5,14 @@ import html
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
 from ledgerlens.llm import bpe, chat, decontaminate, licenses, pages, quality, simhash, substring, toxicity, warc
-from ledgerlens.llm.common import shared_dir
+from ledgerlens.llm.common import join_hot_aware, join_salted, shared_dir
 from ledgerlens.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _rank int, _spans int, rejected_by string"
@@ -25,6 +26,62 @@ def prose(rng, n, letters="abcdefg"):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
 
 
+# Joins
+
+
+def test_hot_keys_are_spread_and_joined(spark):
+    rows = [(k, "hot" if k % 2 else None if k % 10 == 0 else f"k{k % 40}") for k in range(4000)]
+    left = spark.createDataFrame(rows, "i long, key string").repartition(3)
+    right = left.where("key is not null").groupBy("key").count().withColumnRenamed("count", "n").selectExpr("key", "n", "concat(key, '!') as said").where("key <> 'k2'")
+    for how in ("inner", "left"):
+        got = {r["i"]: r["said"] for r in join_hot_aware(left, right, "key", "n", len(rows), how).collect()}
+        want = {i: f"{k}!" if k not in (None, "k2") else None for i, k in rows}
+        assert got == {i: v for i, v in want.items() if v is not None or how == "left"}
+        sizes = right.select("key", "n")
+        got = {r["i"]: r["said"] for r in join_salted(left, right.drop("n"), "key", sizes, len(rows), how=how).collect()}
+        assert got == {i: v for i, v in want.items() if v is not None or how == "left"}
+
+
+# Long texts, null ids, repeated rows
+
+
+def test_long_texts_null_ids_and_repeated_rows(spark):
+    rng = random.Random(53)
+    long = prose(rng, 120_000, "abcdefghij")
+    part = long.split()[60_000:60_100]
+    twice = f"{prose(rng, 30)} {' '.join(part)} {prose(rng, 30)}"
+    item = " ".join(long.split()[100_000:100_020])
+    notice = "Licensed under CC BY 4.0"
+    rows = [(1, long), (2, twice), (2, twice), (None, item), (None, item), (3, f"{long}\n{notice}"), (4, notice), (4, notice)]
+    df = documents(spark, rows)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.report(df, bench).collect())
+    assert found == sorted((i or 0, *slow_contamination(t, [(7, item)])[:2], slow_contamination(t, [(7, item)])[4]) for i, t in rows)
+    metrics = sorted((r["doc_id"] or 0, r["n_words"], r["n_repeat_words"]) for r in quality.metrics(df, list(quality.RULES)).collect())
+    assert metrics == sorted((i or 0, slow_metrics(t)[0], slow_metrics(t)[4]) for i, t in rows)
+    prints = sorted((r["doc_id"] or 0, r["fingerprint"]) for r in simhash.near_duplicates(df).collect())
+    assert prints == sorted((i or 0, f"{slow_fingerprint(t):016x}") for i, t in rows)
+    spans = {(r["doc_id"], r["source_doc_id"]): r for r in substring.passages(df).collect()}
+    assert set(spans) == {(2, 1), (3, 1)} and spans[3, 1]["matched_words"] == 120_000 and spans[2, 1]["source_start"] == 60_000
+    path = vocabulary("word_bpe_49k.json")
+    coded = [(r["doc_id"], list(r["ids"])) for r in bpe.encode(df, path).collect()]
+    assert len(coded) == len(rows) and [i for i, _ in coded].count(None) == 2 and all(a == b for i, a in coded for j, b in coded if i == j)
+    files = df.selectExpr("doc_id as id", "concat('/', coalesce(doc_id, 0)) as path", "text")
+    licences = sorted((r["id"] or 0, r["licence"]) for r in licenses.scan(files).collect())
+    assert licences == [(0, None), (0, None), (1, None), (2, None), (2, None), (3, "CC-BY-4.0"), (4, "CC-BY-4.0"), (4, "CC-BY-4.0")]
+    archive = f"{shared_dir(spark)}/archive-test-{random.random()}"
+    warc.write_archive(df.selectExpr("doc_id as page_id", "'u' as url", "text as html"), archive)
+    kept = [(r["page_id"], r["payload_bytes"]) for r in warc.read_archive(spark, archive).collect()]
+    assert sorted((i or 0, n) for i, n in kept) == sorted((i or 0, len(t.encode())) for i, t in rows)
+
+
+def test_equal_cosines_go_to_the_smaller_licence(spark):
+    both = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC"
+    filler = [(k, f"/f/{k}.txt", "words of no licence at all", 0) for k in range(10, 20)]
+    df = spark.createDataFrame([(1, "/a.c", both, 0), *filler], "id long, path string, text string, licence int")
+    assert licenses.own_licences(df).where("id = 1").first()["licence"] == "ISC"
+
+
 # Simhash
 
 
@@ -276,6 +333,29 @@ def test_the_forest_is_depth_first_and_attends_to_ancestors(spark):
         assert seen == ancestors
 
 
+def test_chats_without_an_id_clashing_names_and_long_turns(spark):
+    path, long = vocabulary("byte_bpe_50k.json"), "é <| \\ " * 40_000
+    rows = [(None, 0, "user", "a", 1, 2), (None, 0, "user", "a", 1, 2), (None, 1, "assistant", "b", 1, 2), (9, 0, "assistant", long, 1, 2), (9, None, None, None, 1, 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, `node.x` int, PATH int")
+    nodes, members = chat.build(df, path)
+    got = chat.digests(nodes, members, path).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (9, 2, len(long))]
+    nine = next(r for r in got if r["conv_id"] == 9)
+    assert nine["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and nine["turns_sha256"] == hashlib.sha256(f"\n\nassistant\n{long}\n".encode()).hexdigest()
+
+
+def test_token_bytes_are_what_the_library_decodes():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    spec = open(path, encoding="utf-8").read()
+    said, library = chat.token_bytes(spec), Tokenizer.from_str(spec)
+    rng = random.Random(3)
+    for _ in range(200):
+        ids = [rng.randrange(len(said)) for _ in range(rng.randrange(1, 9))]
+        assert b"".join(said[i] for i in ids).decode(errors="replace") == library.decode(ids, skip_special_tokens=False)
+
+
 def test_no_chats(spark):
     path = vocabulary("byte_bpe_50k.json")
     nodes, members = chat.build(conversations(spark, []), path)
@@ -306,6 +386,89 @@ def test_attributes_are_whole_names(given):
     assert pages._attributes(f" {given} hidden/")[3] and pages._attributes(" hidden")[3] and pages._attributes(' hidden="" role="menu"')[2:] == ("menu", True)
 
 
+def slow_main_text(source):
+    """A plain reader of well-formed pages: the words below the article, but for what is left out by tag, name or role."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.blocks, self.pieces = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.pieces).split())
+            if text and all(keep for _, keep, _ in self.open) and any(tag == "article" for tag, _, _ in self.open):
+                self.blocks.append(text)
+            self.pieces = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in pages.INLINE:
+                return
+            self.flush()
+            given = dict(attrs)
+            words = {w for v in (given.get("class") or "", given.get("id") or "") for w in re.split("[^a-z]+", v)}
+            keep = tag not in pages.NEVER | {"script", "style"} and not words & pages.NAMES and given.get("role") not in pages.ROLES
+            self.open.append((tag, keep, None))
+
+        def handle_endtag(self, tag):
+            if tag not in pages.INLINE:
+                self.flush()
+                self.open.pop()
+
+        def handle_data(self, data):
+            self.pieces.append(data)
+
+    reader = Reader()
+    reader.feed(source)
+    return "\n".join(reader.blocks)
+
+
+def random_page(rng):
+    def inside(depth):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.choice(["p", "div", "section", "ul", "nav", "aside", "script", "form"])
+            names = rng.choice(["", "", " class='ad box'", " class='post-7 lead'", " id=comments", " role='navigation'", " title='menu'"])
+            if kind == "script":
+                out.append("<script>var a = '<p>no</p>';</script>")
+            elif kind == "ul":
+                out.append(f"<ul{names}>" + "".join(f"<li>{prose(rng, 3)} &amp; <i>{prose(rng, 1)}</i></li>" for _ in range(3)) + "</ul>")
+            elif depth and kind in ("div", "section", "nav", "aside", "form"):
+                out.append(f"<{kind}{names}>{inside(depth - 1)}</{kind}>")
+            else:
+                out.append(f"<p{names}>{prose(rng, 8)}\n <b>{prose(rng, 2)}</b> &lt;x&gt;</p>")
+        return "".join(out)
+
+    return f"<html><body><nav>{prose(rng, 9)}</nav><article><h1>{prose(rng, 4)}</h1><p>{prose(rng, 30)}</p>{inside(3)}</article><footer>{prose(rng, 9)}</footer></body></html>"
+
+
+def test_main_text_against_a_plain_reader(spark):
+    rng = random.Random(41)
+    sources = [random_page(rng) for _ in range(120)]
+    rows = [(k, f"http://h{k % 3}.example/{k}", s, 1, 2) for k, s in enumerate(sources)] + [(None, None, sources[0], 1, 2)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `paths.x` int, HOST int")
+    got = pages.main_texts(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == slow_main_text(sources[r["page_id"] or 0])
+
+
+def test_pages_nested_by_the_thousand_and_ties(spark):
+    rows = []
+    for k, tag in enumerate(["div", "ul", "li", "section", "table><tr><td"]):
+        rows.append((k, "http://deep.example", f"<{tag}>" * 30_000 + "the end" + "</x>" * 30_000))
+    long = " ".join(["word"] * 400_000)
+    rows += [(20, "http://long.example", f"<p>{long}"), (30, "http://even.example", "<div class=a><p>one two</div><div class=b><p>two one</div>")]
+    ties = ["<article class=b><p>one</article>", "<article class=a><p>two</article>", "<article class=b><p>x y z</article><article class=a><p>y</article>", "<article class=a><p>two</article>"]
+    rows += [(40 + k, "http://tie.example", s) for k, s in enumerate(ties)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(df).collect()}
+    assert all(got[k] == "the end" for k in range(5)) and got[20] == long
+    assert got[30] == "one two\ntwo one"  # the body comes before the containers in it that are worth as much
+    assert [got[40 + k] for k in range(4)] == ["one", "two", "y", "two"]  # of the host's two paths with two votes each the smaller wins
+    assert pages.main_texts(df.limit(0)).count() == 0
+
+
 def test_archive_round_trip(spark):
     big = "é" * 80
     rows = [(3, "u", big), (1, "u\r\nX: y", big), (2, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big + "!"), (7, "u", big)]
@@ -499,6 +662,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert {round(r["score"], 6) for r in none} == {0.5}
 
 
+def plain_ftrl(rows, epochs):
+    """FTRL-proximal as published, a coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA)
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for at, label in rows:
+            held = {i: weight(i) for i in (*at, "bias")}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(held.values()))))) - label
+            for i, w in held.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w
+                n[i] += g * g
+    return {i: w for i in z if i != "bias" and (w := weight(i))}, weight("bias")
+
+
+def test_training_is_plain_ftrl(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.4)
+    rng = random.Random(19)
+    rows = []
+    for _ in range(150):
+        label = rng.randrange(2)
+        rows.append((toxicity.slots((prose(rng, 12, "abc") + (" vile" if label else " kind")).encode()), float(label)))
+    wanted, bias = plain_ftrl([(a.tolist(), y) for a, y in rows], 3)
+    found, found_bias = toxicity.train(rows, 3)
+    assert found_bias == pytest.approx(bias)
+    assert {int(i) for i in np.flatnonzero(found)} == set(wanted) and 5 < len(wanted) < sum(len(a) for a, _ in rows)
+    assert all(found[i] == pytest.approx(w) for i, w in wanted.items())
+
+
+def test_training_rows_are_bounded_and_repeats_count_once(spark):
+    rng = random.Random(29)
+    texts = [(i, ("vile " if i % 2 else "kind ") * 3 + prose(rng, 10)) for i in range(200)]
+    label_rows = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    more = texts + [(i, t) for i, t in texts for _ in range(2)]
+    once, thrice = (sorted(map(tuple, toxicity.fit(documents(spark, t), label_rows).collect())) for t in (texts, more))
+    assert once == thrice
+    long = [*texts, (1001, " ".join(f"w{k}" for k in range(200_000)))]
+    rows = toxicity.classify(documents(spark, long), label_rows.union(spark.createDataFrame([(1001, 1, 1)], "a long, b int, c int"))).collect()
+    assert len(rows) == 201 and toxicity.classify(documents(spark, []), label_rows).count() == 0
+
+
 # Licences
 
 
@@ -601,6 +811,62 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules" and corpus_pipeline.ORACLE_SQL is None
 
 
+def slow_verdict(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, chars, symbols, same_lines, repeated = slow_metrics(text)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    upper = sum(unicodedata.category(c) == "Lu" for w in words for c in w)
+    return not (n < 10 or 100 * repeated > 20 * n or 10 * symbols > n or 10 * upper > 4 * chars or chars < 2 * n or chars > 15 * n or 2 * same_lines > len(lines))
+
+
+def slow_pipeline(rows, items, library):
+    """The five stages in plain Python, for texts with single spaces and exact repeats."""
+    rows = [r for r in rows if slow_verdict(r[1])]
+    component = slow_components([(i, slow_fingerprint(t)) for i, t in rows])
+    rows = [(i, t) for i, t in rows if component[i] == i]
+    gone = slow_repeats(rows)
+    rows = [(i, " ".join(w for k, w in enumerate(t.split()) if k not in gone[i]) if gone[i] else t) for i, t in rows]
+    rows = [(i, t) for i, t in rows if not slow_contamination(t, items)[4]]
+    out = []
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        out.append((i, len(ids), ids, hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(out)
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _SPANS int, Rejected_By string, _0 int, doc int"
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(47)
+    item, passage, second = prose(rng, 30, "mnopqrs"), prose(rng, 60, "abcdefghijklmnop"), prose(rng, 80, "abcdefghijklmnop")
+    own = [(i, prose(rng, rng.randrange(120, 260), "abcdefghijklmnop")) for i in range(24)]
+    texts = [(i, f"{t} {passage} {prose(rng, 40, 'abcdefghijklmnop')}" if i % 6 == 1 else f"{t} {second}" if i % 6 == 2 else t) for i, t in own]
+    near = own[0][1].split()
+    near[50] = "zz"
+    texts += [(60, own[3][1]), (61, " ".join(near)), (62, "junk " * 100), (63, "short"), (64, f"{prose(rng, 100)} {item}"), (65, f"{prose(rng, 900)} {item}"), (66, None), (67, "A " * 5 + "### $$$ " * 20), (68, f"{passage} {second}")]
+    columns = [(i, t, "en", "s", len(t or ""), "x", 3, "no", 4, 5) for i, t in texts]
+    spark.createDataFrame(columns, PIPELINE).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, item), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"], r["n_tokens"], list(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    wanted = slow_pipeline(texts, items, Tokenizer.from_file(vocabulary("word_bpe_49k.json")))
+    assert [r[0] for r in got] == [r[0] for r in wanted]
+    assert got == wanted
+    assert {i for i, *_ in got} >= {0, 7, 8, 65} and not {60, 62, 63, 64, 66, 67} & {i for i, *_ in got}
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], PIPELINE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("text", ["a &amp; b", "&#65;&lt", "x &copy y"])
 def test_references_are_decoded_as_in_html(text):
     assert pages.extract(f"<p>{text}</p>", []) == html.unescape(text)
