@@ -4,8 +4,9 @@ A key's amounts are cut at min(10, different amounts) quantiles, equal edges are
 sides; the result is the entropy of the bins' shares in bits. Fewer than two amounts have entropy 0. The quantiles are interpolated in the same order
 of operations as numpy's, since edges often fall exactly on amounts.
 
-No key's amounts are gathered in memory: different amounts are counted first, running counts (in a window that spills) say which of them the quantiles fall
-on, at most 11 edges a key come back by a join, and the bins are counted in two steps.
+No key's amounts are gathered, nor do they all go to one task: different amounts are counted first and sorted into ranges by key and amount, so that a busy key spans several;
+running counts within a range and the key's ranges' totals say which amounts the quantiles fall on, at most 11 edges a key come back by a join, and the bins are
+counted in two steps.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.storage import stored
+
 BINS = 10
 
 
@@ -27,13 +30,17 @@ def binned_entropy(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """(key, out) for every key of df, null keys and null amounts left out."""
     rows = df.select(F.col(key), F.col(value).cast("double").alias("_x")).where(F.col(key).isNotNull())
     counts = rows.where(F.col("_x").isNotNull()).groupBy(key, "_x").agg(F.count("*").alias("_k"))
-    whole = W.partitionBy(key)
-    ranked = counts.select(
-        key, "_x", "_k",
-        F.sum("_k").over(whole.orderBy("_x").rowsBetween(W.unboundedPreceding, 0)).alias("_upto"),
-        F.sum("_k").over(whole).alias("_n"),
-        F.least(F.lit(BINS), F.count("*").over(whole)).cast("int").alias("_q"),
+    ranged = stored(counts.repartitionByRange(key, "_x").sortWithinPartitions(key, "_x").withColumn("_range", F.spark_partition_id()), "amounts")
+    parts = ranged.groupBy(key, "_range").agg(F.sum("_k").alias("_s"), F.count("*").alias("_d"))
+    whole = W.partitionBy(key)  # a row for each range that a key spans
+    bases = parts.select(
+        key, "_range",
+        (F.sum("_s").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_base"),
+        F.sum("_s").over(whole).alias("_n"),
+        F.least(F.lit(BINS), F.sum("_d").over(whole)).cast("int").alias("_q"),
     )
+    own = F.sum("_k").over(W.partitionBy("_range", key).orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
+    ranked = ranged.join(bases, [key, "_range"]).select(key, "_x", "_k", (F.col("_base") + own).alias("_upto"), "_n", "_q")
 
     def hit(i: Column) -> Column:
         h = _place(i, F.col("_q"), F.col("_n"))
@@ -51,7 +58,7 @@ def binned_entropy(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     edge = F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (F.lit(1.0) - t))
     edges = ends.groupBy(key).agg(F.sort_array(F.collect_set(edge)).alias("_edges"))  # at most BINS + 1
     at = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col("_x"))), F.lit(1))
-    held = counts.join(edges, key).groupBy(key, at.alias("_bin")).agg(F.sum("_k").alias("_k"))
+    held = ranged.select(key, "_x", "_k").join(edges, key).groupBy(key, at.alias("_bin")).agg(F.sum("_k").alias("_k"))
     total = held.groupBy(key).agg(F.sum("_k").cast("double").alias("n"), F.collect_list(F.col("_k").cast("double")).alias("ks"))
     bits = F.aggregate(F.array_sort("ks"), F.lit(0.0), lambda s, k: s - (k / F.col("n")) * F.log2(k / F.col("n")))
     found = total.select(F.col(key).alias("_key"), (bits + F.lit(0.0)).alias(out))
