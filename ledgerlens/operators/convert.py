@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that are truth values.
 TRUE = ("true", "t", "yes", "y", "1", "1.0")
 FALSE = ("false", "f", "no", "n", "0", "0.0")
 TARGETS = ("int", "Int64", "float", "bool", "datetime", "string", "category")

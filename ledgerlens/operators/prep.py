@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import as_double, signed_log
 from ledgerlens.functions.quantiles import exact_quantiles
+from ledgerlens.functions.storage import stored
 
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float", "decimal")
 
@@ -71,7 +72,7 @@ def pre_model(df: DataFrame, config: MatrixConfig | None = None) -> DataFrame:
         x[c] = value
     if not x:
         return df.select(*cfg.keep)
-    raw = df.select(*cfg.keep, *[v.alias(k) for k, v in x.items()])
+    raw = stored(df.select(*[F.col(c) for c in cfg.keep], *[v.alias(k) for k, v in x.items()]), "matrix")  # looked at for gaps, constants and quartiles
     zero = {k for k in x if any(z in k for z in cfg.zero_if_named)}
     gaps = raw.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in x]).first()
     medians = exact_quantiles(raw, {k: F.col(k) for k in x if k not in zero and gaps[k]}, [0.5])

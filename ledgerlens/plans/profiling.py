@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import columns as cols
 from ledgerlens.operators import convert, evaluate, features, models, prep, profile
-from ledgerlens.plans.detection import _ACCOUNTS, _FEATURES
+from ledgerlens.plans.detection import _ACCOUNTS, _CURRENCIES, _FEATURES, _FORMATS
 from ledgerlens.plans.runs import build_features, ensemble_report, run_ensemble
 from ledgerlens.sources import csv
 from ledgerlens.sources.transactions import SQL, transactions
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
 NUMBERS = ("amount_paid", "amount_received", "is_laundering")
@@ -412,9 +412,20 @@ def ensemble_report_full(tx):
     return ensemble_report(run_ensemble(features.tx_features(tx), ["amount_paid", "amount_received"]))
 
 
-@query()
+_HOT = {**{f"PF_{v}": ("payment_format", v) for v in _FORMATS}, **{f"PC_{v}": ("payment_currency", v) for v in _CURRENCIES}}
+_MATRIX = (
+    ["amount_received", "amount_paid", *_TX_COLUMNS[2:]] + [f'"{c}"' for c in _HOT] + [f"{c}_{end}" for end in "sr" for c in features.ACCOUNT_FEATURES]
+)
+
+
+@query(_FEATURES + _ACCOUNTS + ", m as (select t.is_laundering, ln(1 + t.amount_received::double) as amount_received, ln(1 + t.amount_paid::double) as amount_paid, t.same_bank, coalesce(t.amount_ratio, 0) as amount_ratio, "
+  "t.is_reinvestment, t.weekday_of_transaction, t.hour_of_transaction, " + ", ".join(f"cast(lower(trim(t.{c})) = '{v}' as int) as \"{k}\"" for k, (c, v) in _HOT.items()) + ", "
+  + ", ".join(f"coalesce({a}.{c}, 0) as {c}_{end}" for a, end in (("s", "s"), ("g", "r")) for c in features.ACCOUNT_FEATURES)
+  + " from t left join acc s on t.account = s.account left join acc g on t.account_1 = g.account)"
+  + ", q as (select " + ", ".join(f"quantile_cont({c}::double, [0.25, 0.5, 0.75]) as q{k}" for k, c in enumerate(_MATRIX)) + " from m) select is_laundering, "
+  + ", ".join(f"round(({c}::double - q{k}[2]) / coalesce(nullif(q{k}[3] - q{k}[1], 0), 1), 5) as {c}" for k, c in enumerate(_MATRIX)) + " from m, q")
 def feature_matrix(tx):
-    return build_features(tx)["tx_matrix"]
+    return _rounded(build_features(tx)["tx_matrix"], 5)
 
 
 @query(_SPACE + """, nk as (select account, d, row_number() over (partition by account order by d) as k from d), sc as (select account, round(avg(d), 6) as knn_score from nk where k <= 3 group by 1),
