@@ -199,11 +199,11 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return per_column(df, columns, facts)
 
 
-def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
+def value_counts(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     """(value, rank, count, pct): the k most frequent values, ties by value; pct is of the non-null rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("count"))
     total = counts.agg(F.sum("count").alias("_total"))
-    top = counts.orderBy(F.desc("count"), "value").limit(k) if k else counts
+    top = counts.orderBy(F.desc("count"), "value").limit(k)
     rank = F.row_number().over(W.orderBy(F.desc("count"), "value"))  # over k rows
     return top.crossJoin(F.broadcast(total)).select("value", rank.alias("rank"), "count", F.round(F.col("count") * 100.0 / F.col("_total"), 6).alias("pct"))
 

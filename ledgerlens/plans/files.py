@@ -11,7 +11,7 @@ from ledgerlens.functions.storage import shared_folder, stored
 from ledgerlens.operators import account as one
 from ledgerlens.operators import columns as cols
 from ledgerlens.operators import features, graph, models, prep, profile
-from ledgerlens.plans.detection import _ACCOUNTS, _FEATURES, _WAYS, FOCUS
+from ledgerlens.plans.detection import _ACCOUNTS, _WAYS, FOCUS
 from ledgerlens.plans.profiling import _POINTS, _SPACE, _points
 from ledgerlens.sinks import writers
 from ledgerlens.sources import csv
