@@ -10,7 +10,8 @@ The texts' words follow the vocabulary file's own rules (NFC, lower case, split
 and common punctuation take a compiled pattern; all others take the library's normaliser and splitter, and then the same encoder.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; repeated rows are encoded alike; the strings of special tokens
-in a text become those tokens, as in the library; an empty table gives an empty result; further columns are ignored.
+in a text become those tokens, as in the library; a text is read as a whole, however long; merges of equal rank don't occur, and of equal places the left one goes first; null ids stay null;
+an empty table gives an empty result; further columns are ignored, whatever their names. A vocabulary file with a decoder of its own is refused, since decoding here is joining tokens by spaces.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import column, slices
+from ledgerlens.llm.common import column, give_back, slices, tidied
 
 #: Words that a worker remembers; beyond, it starts anew. This bounds memory and changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Bytes of texts, about, whose words a worker has as Python objects at once.
+MOST_BYTES = 1 << 20
 END = "</w>"
 
 
@@ -224,6 +226,33 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
+def _lists(encoder: Encoder, batch: pa.RecordBatch) -> pa.ListArray:
+    offsets, ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _tokens(spec: str) -> pa.Array:
+    """The tokens' strings by number."""
+    file = json.loads(spec)
+    if file.get("decoder"):
+        raise ValueError("the vocabulary has a decoder of its own")
+    named = {**file["model"]["vocab"], **{x["content"]: x["id"] for x in file["added_tokens"]}}
+    strings = [""] * (max(named.values()) + 1)
+    for token, i in named.items():
+        strings[i] = token
+    return pa.array(strings, pa.string())
+
+
+def _spoken(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids stand for."""
+    held = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(lists.flatten()))
+    return pc.binary_join(held, " ")
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
     spec = vocabulary(docs.sparkSession, path)
@@ -231,13 +260,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         encoder = Encoder(spec.value)
         for whole in batches:
-            for batch in slices(whole, 1):
-                offsets, ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
+            for batch in slices(whole, 1, MOST_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(encoder, batch)], names=["doc_id", "ids"])
 
-    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>")
+    return _slim(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -245,22 +271,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spec = vocabulary(encoded.sparkSession, path)
 
     def run(batches):
-        file = json.loads(spec.value)
-        named = {**file["model"]["vocab"], **{x["content"]: x["id"] for x in file["added_tokens"]}}
-        strings = [""] * (max(named.values()) + 1)
-        for token, i in named.items():
-            strings[i] = token
-        tokens = pa.array(strings, pa.string())
+        tokens = _tokens(spec.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                lists = batch.column(1)
-                texts = pa.ListArray.from_arrays(
-                    pc.subtract(lists.offsets, lists.offsets[0]), tokens.take(lists.flatten())
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pc.binary_join(texts, " ")], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, _spoken(tokens, batch.column(1))], names=["doc_id", "ids", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded string")
+
+
+def there_and_back(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): encode and decode in one worker a task instead of two, for the ids are the only thing that decoding reads."""
+    spec = vocabulary(docs.sparkSession, path)
+
+    def run(batches):
+        encoder, tokens = Encoder(spec.value), _tokens(spec.value)
+        give_back()  # what building them took
+        for whole in batches:
+            for batch in slices(whole, 1, MOST_BYTES):
+                lists = _lists(encoder, batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, _spoken(tokens, lists)], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _slim(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded string")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import join_hot_aware, join_salted, slices, written
+from ledgerlens.llm.common import join_hot_aware, join_salted, slices, tidied, written
 
 STEP = 16
 #: Conversations, or ways down the tree, and nodes that a worker has as Python objects at once.
@@ -150,7 +150,7 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
 
     turns = written(
         _turns(conversations).mapInArrow(
-            _named, "conv_id long, alone long, node binary, parent binary, depth long, role string, text string, last boolean"
+            tidied(_named), "conv_id long, alone long, node binary, parent binary, depth long, role string, text string, last boolean"
         ),
         "turns",
     )
@@ -159,7 +159,7 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
     ).select("node", "parent", "role", "text", "depth", "n_refs")
     laid = written(
         unique.mapInArrow(
-            tokens, "node binary, parent binary, depth long, n_refs long, token_ids array<int>, loss_from long, loss_until long"
+            tidied(tokens), "node binary, parent binary, depth long, n_refs long, token_ids array<int>, loss_from long, loss_until long"
         ).withColumn("n_tokens", F.size("token_ids").cast("long")),
         "laid",
     )
@@ -169,7 +169,7 @@ def build(conversations: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFra
     shared = laid.select("node", F.col("n_refs").alias("n"))
     steps = join_salted(lines, shared, "node", sizes, lines.count())
     way = F.array_sort(F.collect_list(F.struct("depth", "node", "n"))).alias("way")
-    paths = steps.groupBy("leaf").agg(way).select("way").mapInArrow(_segmented, "node binary, path binary")
+    paths = steps.groupBy("leaf").agg(way).select("way").mapInArrow(tidied(_segmented), "node binary, path binary")
     slim = laid.select("node", "depth", "n_tokens").join(paths.groupBy("node").agg(F.first("path").alias("path")), "node")
 
     ordered = written(
@@ -256,7 +256,7 @@ def read_nodes(nodes: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["path", "depth", "role", "text", "loss", "n_chars"])
 
     slim = nodes.select("path", "depth", "token_ids", "loss_from", "loss_until")
-    return slim.mapInArrow(run, "path binary, depth long, role string, text string, loss string, n_chars long")
+    return slim.mapInArrow(tidied(run), "path binary, depth long, role string, text string, loss string, n_chars long")
 
 
 def read_back(nodes: DataFrame, members: DataFrame, vocabulary: str) -> DataFrame:

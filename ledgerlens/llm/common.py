@@ -130,3 +130,29 @@ def slices(batch, column: int, most_bytes: int = 4 << 20):
         held += n
     if batch.num_rows > at:
         yield batch.slice(at)
+
+
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the machine. Workers are kept for later tasks, and what they hold on to counts against the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run):
+    """run, a function from record batches to record batches, which gives memory back when a task is over."""
+
+    def worker(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return worker

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BROADCAST_BYTES, join_hot_aware, slices, written
+from ledgerlens.llm.common import BROADCAST_BYTES, join_hot_aware, slices, tidied, written
 
 #: Shares of a host's votes that a path needs to win.
 WINNING_SHARE = 0.1
@@ -296,7 +296,7 @@ def _votes(batches):
 def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, paths, n): each host's winning paths, most votes first, and its number of votes."""
     slim = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = written(slim.mapInArrow(_votes, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n")), "votes")
+    votes = written(slim.mapInArrow(tidied(_votes), "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n")), "votes")
     total = votes.groupBy("host").agg(F.sum("n").alias("total"))
     won = votes.join(total, "host").where(F.col("n") >= F.col("total") * WINNING_SHARE)  # ten paths of a host at most
     ranked = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "path"))).alias("all"), F.first("total").alias("n"))
@@ -327,7 +327,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
         known = slim.join(F.broadcast(won.drop("n")), "host", "left").select(*slim.columns, "paths")
     else:
         known = join_hot_aware(slim, won, "host", "n", size[1], "left")
-    return known.select("page_id", "url", "html", "paths").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return known.select("page_id", "url", "html", "paths").mapInArrow(tidied(_texts), "page_id long, url string, text string, n_chars long")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

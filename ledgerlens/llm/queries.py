@@ -72,7 +72,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or vocabulary("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.there_and_back(table(spark, sf_dir, "documents"), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -12,7 +12,9 @@ then the full Hamming distance are checked on what the join gives.
 Exact copies. Documents with one fingerprint are one row in all of this; they come back in the last join.
 
 Defined results: null and blank texts have no shingle and fingerprint 0, which links like any other; fewer than three words make one
-shingle; rows that repeat a doc_id each get a row; null doc_id counts as an id of its own and is larger than all others; an empty table gives an empty result; further columns are ignored.
+shingle; rows that repeat a doc_id each get a row; null doc_id counts as an id of its own and is larger than all others; a text is read as a
+whole, however long, its hashes in blocks; ties of a bit count as unset, and of rows with one id and fingerprint `keep_one` keeps the smallest text; an empty table gives an empty
+result; further columns are ignored, or kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BROADCAST_BYTES, column, free_name, join_hot_aware, slices, written
+from ledgerlens.llm.common import BROADCAST_BYTES, column, free_name, join_hot_aware, slices, tidied, written
 from ledgerlens.llm.components import components
 
 #: A-Z to a-z.
@@ -64,7 +66,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fp long): the fingerprint's 64 bits as a signed number."""
     slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").cast("binary").alias("text"))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return slim.mapInArrow(tidied(_fingerprints), "doc_id long, fp long")
 
 
 def links(classes: DataFrame) -> DataFrame:

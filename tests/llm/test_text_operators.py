@@ -267,7 +267,9 @@ def test_bpe_is_the_librarys(spark):
         ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == ids
         assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
-    assert bpe.encode(documents(spark, []), path).count() == 0
+    both = bpe.there_and_back(documents(spark, enumerate(texts)), path)
+    assert sorted(map(tuple, both.collect()), key=lambda r: r[0]) == sorted(map(tuple, coded.collect()), key=lambda r: r[0])
+    assert bpe.encode(documents(spark, []), path).count() == bpe.there_and_back(documents(spark, []), path).count() == 0
 
 
 def test_proposals_that_fail_are_merged():
