@@ -41,7 +41,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256)."""
     path = vocabulary("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.there_and_back(docs, path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
