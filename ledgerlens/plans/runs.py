@@ -90,9 +90,10 @@ def run_profile(df: DataFrame, config: ProfileConfig | None = None) -> dict[str,
 
 def build_features(tx: DataFrame) -> dict[str, DataFrame]:
     """Transaction features, account features, transactions in context, and both model matrices."""
+    tx = stored(tx, "tx")  # a join, as a rule, that categories, accounts and context all read
     t = features.one_hot(features.one_hot(features.tx_features(features.basic_casts(tx)), "payment_format", "PF"), "payment_currency", "PC")
     accounts = stored(features.clean_numeric(features.account_features(tx)), "accounts")
-    context = stored(features.clean_numeric(features.attach_context(t, accounts)), "context")  # the matrix looks at it several times
+    context = features.clean_numeric(features.attach_context(t, accounts))  # the matrix reads it once, and stores what it looks at again
     return {
         "tx_features": t,
         "account_features": accounts,

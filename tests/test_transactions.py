@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,3 +371,48 @@ def test_the_entry_module():
 
     named, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(named) > 80 and set(sql) <= set(named)
+
+
+def test_quantiles_are_exact_whatever_the_brackets(spark, monkeypatch):
+    from ledgerlens.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "SKETCHED", 200)
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    rng = np.random.default_rng(13)
+    x = pd.DataFrame({"a": rng.normal(size=4000), "b": rng.integers(0, 2, 4000) * 1.0, "c": np.where(rng.random(4000) < 0.3, np.nan, rng.integers(0, 9, 4000))})
+    df, ps = spark.createDataFrame(x).repartition(3).cache(), [0.0, 0.25, 0.5, 0.75, 1.0]
+    real = quantiles._brackets
+
+    def off(found, counts, ps, sampled):
+        ends = real(found, counts, ps, sampled)
+        return {c: [90.0] * len(e) if c == "_0" else e for c, e in ends.items()} if sampled else ends
+
+    for brackets in (real, off):
+        monkeypatch.setattr(quantiles, "_brackets", brackets)
+        got = quantiles.exact_quantiles(df, {c: F.col(c) for c in x}, ps, ready=True)
+        for c in x:
+            assert got[c] == pytest.approx(x[c].quantile(ps).tolist()), c
+
+
+def test_one_row_a_batch_for_a_bracket_of_one_value():
+    from ledgerlens.functions import quantiles
+
+    batch = pa.RecordBatch.from_pydict({"x": [0.0] * 5000 + [1.0] * 3000})
+    rows = [r for b in quantiles._counted([(0, 0.0, 0.0), (0, 1.0, 1.0)])([batch]) for r in b.to_pylist()]
+    assert sorted((r["k"], r["v"] is None, r["n"]) for r in rows) == [(0, False, 5000), (0, True, 0), (1, False, 3000), (1, True, 5000)]
+
+
+def test_entropy_looks_at_no_row_with_a_lambda(spark):
+    from ledgerlens.functions.entropy import binned_entropy
+
+    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(50)], "k string, v double")
+    plan = binned_entropy(rows, "k", "v", "h")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+
+
+def test_rounding_is_half_away_from_zero(spark):
+    from ledgerlens.functions.numeric import rounded
+
+    values = [0.125, -0.125, 2.5, -2.675, 1e300, -1e20, float("inf"), 0.0, None, 1234567.891]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 2)).collect()]
+    assert got == [0.13, -0.13, 2.5, -2.68, 1e300, -1e20, float("inf"), 0.0, None, 1234567.89]
