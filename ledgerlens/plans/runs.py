@@ -106,9 +106,9 @@ def build_features(tx: DataFrame) -> dict[str, DataFrame]:
 def run_ensemble(matrix: DataFrame, columns: list[str], contamination: float = 0.005, k: int = 20) -> DataFrame:
     """matrix with the scores and flags of three detectors, their votes and the consensus."""
     prep.check_numeric(matrix, columns)
-    df = features.clean_numeric(matrix)
+    df = stored(features.clean_numeric(matrix), "ensemble")  # the detectors read it several times
     df = models.isolation_forest(df, columns)
-    df = models.lof_scores(df, columns, k)
+    df = stored(models.lof_scores(df, columns, k), "local")  # copod counts and ranks it
     df = stored(models.copod_scores(df, columns), "scores")  # each limit reads a score, and the result all of them
     for d in models.DETECTORS:
         df = models.flagged(df, f"{d}_score", f"{d}_is_outlier", contamination)

@@ -416,3 +416,47 @@ def test_rounding_is_half_away_from_zero(spark):
     values = [0.125, -0.125, 2.5, -2.675, 1e300, -1e20, float("inf"), 0.0, None, 1234567.891]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 2)).collect()]
     assert got == [0.13, -0.13, 2.5, -2.68, 1e300, -1e20, float("inf"), 0.0, None, 1234567.89]
+
+
+def test_paths_of_flat_trees_are_those_of_the_trees():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    tree = models._grow(x, 8, rng)
+
+    def walk(node, row, depth=0):
+        return walk(node[2 if row[node[0]] < node[1] else 3], row, depth + 1) if isinstance(node, list) else depth + models._mean_path(node)
+
+    assert models._paths(models._flat(tree), x).tolist() == [walk(tree, row) for row in x]
+    assert models._paths(models._flat(5), x).tolist() == [models._mean_path(5)] * 300
+
+
+def test_neighbours_cross_cells_and_ties_go_by_the_points(spark, monkeypatch):
+    from ledgerlens.functions import neighbours as module
+
+    monkeypatch.setattr(module, "CELL", 3)
+    monkeypatch.setattr(module, "LEAF", 4)
+    grid = [(float(a), float(b)) for a in range(12) for b in range(12)]
+    rows = spark.createDataFrame(grid + grid[:40], "a double, b double")
+    unlike = np.array(grid)
+    for r in neighbours(rows, ["a", "b"], 6).collect():
+        d = np.sqrt(((unlike - np.array(r["key"])) ** 2).sum(axis=1))
+        best = sorted((float(x), tuple(p)) for x, p in zip(d, unlike.tolist()))[:6]
+        assert [(p["d"], tuple(p["key"])) for p in r["near"]] == best
+        assert r["n"] == 1 + (grid.index(tuple(r["key"])) < 40) and r["near"][0]["id"] == r["id"]
+
+
+def test_the_ensemble_ranks_and_scores_stored_rows(spark):
+    rows = pd.DataFrame({"a": np.arange(60.0) % 7, "b": np.arange(60.0) % 11})
+    read = []
+    real = models.copod_scores
+
+    def seen(df, columns, *more):
+        read.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, columns, *more)
+
+    models.copod_scores = seen
+    try:
+        run_ensemble(spark.createDataFrame(rows), ["a", "b"])
+    finally:
+        models.copod_scores = real
+    assert "Join" not in read[0] and "ArrowEvalPython" not in read[0]
