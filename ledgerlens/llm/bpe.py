@@ -21,6 +21,7 @@ import json
 import re
 import sys
 import unicodedata
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,11 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import column, give_back, slices, tidied
 
-#: Words that a worker remembers; beyond, it starts anew. This bounds memory and changes no result.
+#: Words that a worker remembers; beyond, it forgets those that it met in one batch only, or all if that isn't enough. This bounds memory and changes no result.
 REMEMBERED = 100_000
 #: Bytes of texts, about, whose words a worker has as Python objects at once.
 MOST_BYTES = 1 << 20
+#: Letters of a word that is merged over a list.
+SHORT = 24
 END = "</w>"
+#: Stands behind every merge.
+NEVER = (sys.maxsize, -1)
 
 
 def _byte_letters() -> list[str]:
@@ -58,6 +63,7 @@ class Encoder:
 
         self.library = Tokenizer.from_str(spec)
         file = json.loads(spec)
+        self.joined = not file.get("decoder")  # decoding is joining tokens by spaces
         model = file["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -82,7 +88,11 @@ class Encoder:
         self.own[whole] = self.compatible(self.left[whole], self.right[whole], self.made[whole])
         for i in whole[np.argsort(self.made[whole])]:
             self.own[i] &= self.own[self.left[i]] & self.own[self.right[i]]
-        self.longest = max(len(t) for t in self.vocab)
+        self.reach: dict[str, int] = {}  # letters of the longest token, by its first three
+        for token in self.vocab:
+            n = len(token.removesuffix(END))
+            if n > 2 and n > self.reach.get(token[:3], 2):
+                self.reach[token[:3]] = n
         letters = _byte_letters()
         self.letters = letters
         self.bytes = {x: b for b, x in enumerate(letters)}
@@ -98,6 +108,19 @@ class Encoder:
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def forget_rare(self) -> None:
+        """Forget the words that were met in one batch only."""
+        kept = np.flatnonzero(self.again)
+        counts = self.counts[kept]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.starts[kept] - (ends - counts), counts) + np.arange(total)]
+        place = np.cumsum(self.again) - 1
+        index = {w: int(place[k]) for w, k in self.index.items() if self.again[k]}
+        self.forget()
+        self.index, self.ids, self.starts, self.counts, self.again = index, ids, ends - counts, counts, np.zeros(len(kept), bool)
 
     def compatible(self, first: np.ndarray, second: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For all pairs at once: no merge across the border comes earlier than what the two sides are made of (nor, if given, before)."""
@@ -125,21 +148,31 @@ class Encoder:
 
     def propose(self, letters: str) -> list[int]:
         """Longest token at every place; END marks the word's end."""
-        out, at, n, vocab = [], 0, len(letters), self.vocab
+        out, at, n, vocab, reach = [], 0, len(letters), self.vocab, self.reach
         while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
-                found = vocab.get(letters[at:to] + END if to == n else letters[at:to])
+            to = at + reach.get(letters[at : at + 3], 2)
+            if to >= n:
+                to = n - 1
+                found = vocab.get(letters[at:] + END)
+                if found is not None:
+                    out.append(found)
+                    break
+            while to > at:
+                found = vocab.get(letters[at:to])
                 if found is not None:
                     out.append(found)
                     at = to
                     break
+                to -= 1
             else:
                 raise ValueError(f"no token for {letters[at]!r}")
         return out
 
     def merge(self, letters: str) -> list[int]:
-        """The merges themselves, earliest first and from the left, over a linked list with a heap."""
+        """The merges themselves, earliest first and from the left: over a linked list with a heap, or if the word is short over a list."""
         ids = [self.vocab[c] for c in letters[:-1]] + [self.vocab[letters[-1] + END]]
+        if len(ids) <= SHORT:
+            return self.merge_short(ids)
         after, ahead = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         rank = self.rank
         heap = [(rank[p][0], i, *p) for i in range(len(ids) - 1) if (p := (ids[i], ids[i + 1])) in rank]
@@ -158,6 +191,22 @@ class Encoder:
                     heapq.heappush(heap, (rank[p][0], k, *p))
         return [i for i in ids if i >= 0]
 
+    def merge_short(self, ids: list[int]) -> list[int]:
+        rank = self.rank
+        found = [rank.get(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is NEVER:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = rank.get((ids[i - 1], ids[i]), NEVER)
+            if i < len(found):
+                found[i] = rank.get((ids[i], ids[i + 1]), NEVER)
+        return ids
+
     def learn(self, words: list[str]) -> None:
         """Encode new words and remember them."""
         shown = [w.translate(self.ascii) if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in words]
@@ -180,6 +229,7 @@ class Encoder:
         self.index.update(zip(words, range(base, base + len(words)), strict=True))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
         self.counts = np.append(self.counts, counts)
+        self.again = np.append(self.again, np.zeros(len(words), bool))
         self.ids = np.append(self.ids, flat.astype(np.int32))
 
     def split(self, text: str) -> list[str]:
@@ -203,17 +253,21 @@ class Encoder:
                 cut.append(self.split(text))
         unlike = set().union(*cut)
         if len(self.index) + len(unlike) > REMEMBERED:
-            self.forget()
+            self.forget_rare()
+            if len(self.index) + len(unlike) > REMEMBERED:
+                self.forget()
+        known = len(self.index)
         new = [w for w in unlike if w not in self.index and isinstance(w, str)]
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
         for i in (w for w in unlike if isinstance(w, int) and w not in self.index):
             self.index[i] = len(self.index)
-            self.starts, self.counts = np.append(self.starts, len(self.ids)), np.append(self.counts, 1)
+            self.starts, self.counts, self.again = np.append(self.starts, len(self.ids)), np.append(self.counts, 1), np.append(self.again, False)
             self.ids = np.append(self.ids, np.int32(i))
         look = self.index.__getitem__
         sizes = [len(w) for w in cut]
-        at = np.fromiter((look(w) for words in cut for w in words), dtype=np.int64, count=sum(sizes))
+        at = np.fromiter(map(look, chain.from_iterable(cut)), dtype=np.int64, count=sum(sizes))
+        self.again[at[at < known]] = True
         n = self.counts[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -285,7 +339,10 @@ def there_and_back(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spec = vocabulary(docs.sparkSession, path)
 
     def run(batches):
-        encoder, tokens = Encoder(spec.value), _tokens(spec.value)
+        encoder = Encoder(spec.value)
+        if not encoder.joined:
+            raise ValueError("the vocabulary has a decoder of its own")
+        tokens = pa.array(encoder.strings, pa.string())
         give_back()  # what building them took
         for whole in batches:
             for batch in slices(whole, 1, MOST_BYTES):

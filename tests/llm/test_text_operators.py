@@ -283,6 +283,28 @@ def test_proposals_that_fail_are_merged():
     assert any(a != b for a, b in zip(proposed, final, strict=True))
 
 
+def test_words_that_come_again_are_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    encoder = bpe.Encoder(open(vocabulary("word_bpe_49k.json"), encoding="utf-8").read())
+    rng = random.Random(6)
+    common = ["".join(rng.choice("abdehilnorst") for _ in range(9)) for _ in range(12)]
+    learned, learn = [], encoder.learn
+    encoder.learn = lambda words: (learned.extend(words), learn(words))
+    for _ in range(30):
+        text = " ".join([*common, *("".join(rng.choice("abdehilnorst") for _ in range(11)) for _ in range(8)), "<|endoftext|>", "x" * 40])
+        assert encoder.encode([text])[1].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    assert all(learned.count(w) == 1 for w in common) and len(encoder.index) <= 60
+
+
+def test_short_and_long_merges_agree(monkeypatch):
+    encoder = bpe.Encoder(open(vocabulary("word_bpe_49k.json"), encoding="utf-8").read())
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aehnst") for _ in range(rng.randint(1, 24))) for _ in range(2000)]
+    short = [encoder.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [encoder.merge(w) for w in words]
+
+
 # Chat
 
 
