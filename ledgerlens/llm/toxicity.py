@@ -6,8 +6,8 @@ which sets the coordinate's own learning rate, and L1 sets the weights of most s
 bounded by the number of slots, so it is broadcast.
 
 Training reads at most TRAIN_ROWS labelled rows, those whose doc_id hashes lowest among the rows that aren't held out (crc32 of the doc_id as
-text modulo 5 isn't 0), in one task, for EPOCHS passes; of rows that repeat an id, the one with the smallest text hash. What comes to that task are the rows' slots and no texts, of
-each row at most ROW_SLOTS, those with the smallest numbers: with the row count that bounds it, whatever the texts' lengths. Scoring reads every whole text.
+text modulo 5 isn't 0), in one task, for EPOCHS passes; of rows that repeat an id, the one with the smallest text hash. What comes to that task are the rows' slots and no texts, all
+slots of each row, at most 2**BITS; the task holds HELD_BYTES of them and reads the others from a file of its own in every pass. Scoring reads every whole text.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; repeated rows get equal scores; labels without
 a document, with a null label or null doc_id aren't used; without any training row, or with one class only, the scores are near that class' share (0.5 without rows); a null doc_id isn't
@@ -18,6 +18,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import sys
+import tempfile
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ from ledgerlens.llm.common import column, slices, tidied
 
 BITS = 20
 TRAIN_ROWS = 20_000
-ROW_SLOTS = 1 << 13
+HELD_BYTES = 256 << 20
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 15.0, 1.0
 
@@ -82,15 +83,40 @@ def _slot_rows(batches):
     """Each text's slots, as four bytes each."""
     for whole in batches:
         for batch in slices(whole, 1):
-            found = [slots(text)[:ROW_SLOTS].tobytes() for text in batch.column(1).to_pylist()]
+            found = [slots(text).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "slots", "label", "hash"])
 
 
+class Rows:
+    """(slots, label) of each row, as often as asked: so many bytes in memory, the rest in a file that ends with the object."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, float]] = []
+        self.bytes, self.file, self.more = 0, None, []
+
+    def add(self, data: bytes, label: float) -> None:
+        if self.file is None and self.bytes + len(data) <= HELD_BYTES:
+            self.held.append((np.frombuffer(data, np.int32), label))
+            self.bytes += len(data)
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.write(data)
+        self.more.append((len(data), label))
+
+    def __iter__(self):
+        yield from self.held
+        if self.file is not None:
+            self.file.seek(0)
+            for size, label in self.more:
+                yield np.frombuffer(self.file.read(size), np.int32), label
+
+
 def _train_task(batches):
-    rows = []
+    rows = Rows()
     for batch in batches:
-        for held, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows.append((np.frombuffer(held, np.int32), float(label)))
+        for held, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            rows.add(held.as_py(), float(label))
     w, b = train(rows)
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(w[at], b))], names=["slot", "weight"])

@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from ledgerlens.llm import bpe, chat, decontaminate, licenses, pages, quality, simhash, substring, toxicity, warc
@@ -733,6 +734,23 @@ def test_training_rows_are_bounded_and_repeats_count_once(spark):
     assert len(rows) == 201 and toxicity.classify(documents(spark, []), label_rows).count() == 0
 
 
+def test_long_training_rows_keep_all_slots_in_memory_and_file(monkeypatch):
+    text = " ".join(f"w{k}" for k in range(9000)).encode()
+    whole = toxicity.slots(text)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([1], pa.int32()), pa.array([5])], names=["doc_id", "text", "label", "hash"])
+    (given,) = toxicity._slot_rows([batch])
+    assert np.frombuffer(given.column(1)[0].as_py(), np.int32).tolist() == whole.tolist() and len(whole) > 1 << 13
+    rng = random.Random(31)
+    many = [(toxicity.slots(prose(rng, 30).encode()), float(k % 2)) for k in range(40)]
+    monkeypatch.setattr(toxicity, "HELD_BYTES", 500)
+    rows = toxicity.Rows()
+    for at, label in many:
+        rows.add(at.tobytes(), label)
+    assert rows.file is not None and rows.held
+    for _ in range(2):
+        assert [(a.tolist(), y) for a, y in rows] == [(a.tolist(), y) for a, y in many]
+
+
 # Licences
 
 
