@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than 1/HOT_SHARE of the rows, so at most HOT_SHARE keys can be hot, whatever the data.
 HOT_SHARE = 64
 
+#: Rows of a record batch that goes to a Python worker; a batch stands in the executor's memory twice, beside its heap and in the worker.
+BATCH_ROWS = 500
+
 #: A side whose measured size is within this is broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -132,6 +135,13 @@ def slices(batch, column: int, most_bytes: int = 4 << 20):
         yield batch.slice(at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Record batches hold BATCH_ROWS rows, unless the session was given a number of its own; Spark's 10,000 rows are tens of MB of texts, or more, for each running task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def give_back() -> None:
     """Memory that a Python worker has freed goes back to the machine. Workers are kept for later tasks, and what they hold on to counts against the executor."""
     import ctypes

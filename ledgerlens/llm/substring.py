@@ -2,15 +2,18 @@
 
 1. Seeds. Words (ASCII case folded, split at ASCII white space) make five-word k-mers; of every WINDOW consecutive k-mers the one with the smallest hash is
    a seed, so equal runs of WINDOW + 4 words share one.
-2. Matches. A seed with up to RARE places is matched at all pairs of them. A seed with more is matched with its first place, the smallest
-   (doc_id, word), and every run of MIN_WORDS words with fewer than two different rare seeds is a key of its own, matched with its first place too. So matches grow
-   with the text and not with the square of a group, and of any MIN_WORDS words that an earlier document has either two seeds are matched
-   with that document or the whole run is matched with the first document that has it: no exact repeat is lost (but for under K words at an edge, see 5).
+2. Matches. Of equal texts the first is searched; the others have its passages, and the whole text against it. A seed with up to RARE places is matched at all pairs of
+   them, a seed with more with its first place, the smallest (doc_id, word). Two seeds within REACH words, one of them frequent, are a key too, matched in the same way: two
+   documents have such a pair wherever a chain goes from one seed to the next, however frequent each is alone. Every run of MIN_WORDS words with fewer than two different
+   rare seeds is a key as well, matched with its first place. So matches grow with the text and not with the square of a group, and of any MIN_WORDS words that an earlier document
+   has either two seeds are matched with that document or the whole run is matched with the first document that has it: no exact repeat is lost (but for under K words at an edge,
+   see 5). Of passages that are only alike those are searched for against their pairs' first documents alone whose pairs all have more than RARE places.
 3. Chains. Matches that follow each other along one diagonal are a segment. The segments of a document with one anchor document are chained in order along both: a
    Fenwick tree over the segments' ends in the anchor document holds the best chain that ends before a place, and a gap costs GAP a word on either side. Chains break
    where a gap is longer than LONGEST_GAP. A pair of documents has at most twice as many matches as the document has words.
 4. Alignment. The words around a pair's chains are fetched from both documents, segments are compared word by word along their diagonals, gaps are aligned, both ends
-   are extended, and what has MIN_WORDS words or more, SIMILAR of them matched, is a passage. A chain that is less alike is cut into the parts that are. A chain
+   are extended, and what has MIN_WORDS words or more, SIMILAR of them matched, is a passage. A chain that is less alike is cut into the parts that are, and aligned
+   along each of its diagonals alone, since seeds of repeated words may have led it aside. A chain
    that lies well within a passage of the same pair is passed over: it would report words that are reported already.
 5. First sources. A passage is reported against the first document that has it: further sources count if they add K words in a row, so that a
    chance word at its edge makes no second passage.
@@ -35,12 +38,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BROADCAST_BYTES, column, free_name, join_hot_aware, join_salted, slices, tidied, written
+from ledgerlens.llm.common import BROADCAST_BYTES, column, free_name, join_hot_aware, join_salted, slices, small_batches, tidied, words_of, written
 
 K = 5
 WINDOW = 12
 GAP = 0.1
 LONGEST_GAP = 32
+#: Words from one seed's first word to the next one's in a chain, at most.
+REACH = LONGEST_GAP + K
 MARGIN = 64
 #: Places of a seed that are all matched with each other; the first and the last place of a seed are enough for three.
 RARE = 3
@@ -52,6 +57,8 @@ GRID = 64
 CHAINED = 256
 MIN_WORDS = 50
 SIMILAR = 0.8
+#: Kinds of keys.
+SEED, PAIR, RUN = 0, 1, 2
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,13 +83,24 @@ def _least(h: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
 
 
-def _thinned(h: np.ndarray, least: np.ndarray) -> np.ndarray:
-    at = np.unique(least)
+def _alone(h: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Of each window of k-mers, whether its smallest hash stands in it once."""
+    new = np.append(True, least[1:] != least[:-1])
+    at = least[new]
+    following = np.full(len(at), WINDOW)
+    for k in range(WINDOW - 1, 0, -1):
+        there = at[: np.searchsorted(at, len(h) - k)]
+        following[: len(there)][h[there] == h[there + k]] = k
+    return least + following[np.cumsum(new) - 1] >= np.arange(len(least)) + WINDOW
+
+
+def _thinned(h: np.ndarray, least: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    at = least[np.append(True, least[1:] != least[:-1])]
     value = h[at]
-    if len(at) > 1 and (value[1:] == value[:-1]).any():  # runs of one word: one seed in a window will do
-        kept, last, before = [], -WINDOW, None
+    if len(at) > 1 and (value[1:] == value[:-1]).any():  # runs of one word: one seed in a window will do, and those that are a window's only one
+        kept, last, before, needed = [], -WINDOW, None, {*least[alone].tolist()}
         for i, v in zip(at.tolist(), value.tolist(), strict=True):
-            if v != before or i - last >= WINDOW:
+            if v != before or i - last >= WINDOW or i in needed:
                 kept.append(i)
                 last, before = i, v
         at = np.array(kept)
@@ -94,7 +112,8 @@ def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < K:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = _hashes(words)[1]
-    at = _thinned(h, _least(h))
+    least = _least(h)
+    at = _thinned(h, least, _alone(h, least))
     return at, h[at]
 
 
@@ -104,10 +123,26 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def linked(at: np.ndarray, h: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the first and of the second seed, and hashes, of all pairs of seeds that may follow each other in a chain, one of them at least frequent."""
+    first, second = [], []
+    for k in range(1, REACH + 1):
+        near = at[k:] - at[:-k] <= REACH
+        if not near.any():
+            break
+        i = np.flatnonzero(near & (often[k:] | often[:-k]))
+        first.append(i)
+        second.append(i + k)
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
+    mixed = h[i] * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + h[j]
+    return at[i], at[j], mixed ^ mixed >> np.uint64(33)
+
+
 def frequent_runs(one: np.ndarray, h: np.ndarray, least: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the runs of MIN_WORDS words with fewer than two different seeds that aren't frequent, of the seeds that the run itself has wherever it stands.
 
-    frequent says of each k-mer in least whether it is.
+    frequent says of each k-mer in least whether it is, or whether its place in a run of one word isn't that of a seed wherever the run stands.
     """
     inside = MIN_WORDS - K - WINDOW + 2  # windows of k-mers in a run
     n = len(least) - inside + 1
@@ -155,29 +190,36 @@ def _placed(batches, rows_of, names):
                 words = (text or b"").translate(FOLD).split()
                 if len(words) < K:
                     continue
-                for kind, at, h in rows_of(words):
-                    for c, v in zip(columns, (h.view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.full(len(at), kind)), strict=False):
+                for kind, at, then, h in rows_of(words):
+                    for c, v in zip(columns, (h.view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), then.astype(np.int32), np.full(len(at), kind, np.int8)), strict=False):
                         c.append(v)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
 
 
 def _seed_rows(batches):
-    return _placed(batches, lambda words: [(False, *seeds(words))], ["seed", "doc", "at"])
+    def rows_of(words):
+        at, h = seeds(words)
+        return [(SEED, at, at, h)]
+
+    return _placed(batches, rows_of, ["seed", "doc", "at"])
 
 
 def _key_rows(filters):
-    """Repeated seeds, and the runs of frequent ones."""
+    """Repeated seeds, the pairs that frequent ones are in, and the runs of frequent ones."""
 
     def rows_of(words):
         repeated, often = filters.value
         one, h = _hashes(words)
         least = _least(h)
-        at = _thinned(h, least)
+        alone = _alone(h, least)
+        at = _thinned(h, least, alone)
         at = at[_in(repeated, h[at])]
-        return [(False, at, h[at]), (True, *frequent_runs(one, h, least, _in(often, h[least])))]
+        first, second, both = linked(at, h[at], _in(often, h[at]))
+        start, run = frequent_runs(one, h, least, _in(often, h[least]) | ~alone)
+        return [(SEED, at, at, h[at]), (PAIR, first, second, both), (RUN, start, start, run)]
 
-    return lambda batches: _placed(batches, rows_of, ["seed", "doc", "at", "run"])
+    return lambda batches: _placed(batches, rows_of, ["seed", "doc", "at", "then", "kind"])
 
 
 def segments(own: np.ndarray, other: np.ndarray, words: np.ndarray | int = K) -> np.ndarray:
@@ -408,14 +450,23 @@ SLACK = WINDOW + K
 
 
 def align_group(own: list, other: list, lines: list[tuple[list[int], list[int], list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """The passages of all chains of a group, the longest chains first, but for chains that lie well within a passage that is found already."""
+    """The passages of all chains of a group, the longest chains first, but for chains that lie well within a passage that is found already.
+
+    A chain over several diagonals that isn't one passage is aligned along each of them alone as well: seeds of repeated words may lead it aside.
+    """
     found: list[tuple[int, int, int, int, int]] = []
     held: list[tuple[int, int]] = []
     for at, there, words in sorted(lines, key=lambda c: -sum(c[2])):
         k = bisect.bisect_right(held, max(0, at[0] - SLACK), key=lambda x: x[0]) - 1
         if k >= 0 and held[k][1] >= min(at[-1] + words[-1] + SLACK, len(own)):
             continue
-        for p in align(own, other, at, there, words):
+        passages = align(own, other, at, there, words)
+        turns = {x - y for x, y in zip(at, there, strict=True)}
+        if len(turns) > 1 and not any(p[0] <= at[0] and p[1] >= at[-1] + words[-1] for p in passages):
+            for turn in sorted(turns):
+                one = [(x, y, n) for x, y, n in zip(at, there, words, strict=True) if x - y == turn]
+                passages += [p for p in align(own, other, *map(list, zip(*one, strict=True))) if not any(q[0] <= p[0] and q[1] >= p[1] for q in passages)]
+        for p in passages:
             found.append(p)
             low, high = bisect.bisect_left(held, p[0], key=lambda x: x[1]), bisect.bisect_right(held, p[1], key=lambda x: x[0])
             held[low:high] = [(min([p[0], *(x[0] for x in held[low:high])]), max([p[1], *(x[1] for x in held[low:high])]))]
@@ -468,35 +519,59 @@ def _filter(anchors: DataFrame) -> np.ndarray:
     return out
 
 
-def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chained seeds of each document with each of the earlier documents that it is matched with."""
-    slim = docs.select(column(id_col).cast("long").alias("doc"), column(text_col).cast("string").cast("binary").alias("text"))
+def _repeated(rows: DataFrame, places: list[str]) -> DataFrame:
+    """(seed, first, last, n) of the keys that two documents have."""
+    place = F.struct("doc", *places)
+    found = rows.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    return found.where(F.col("first.doc") < F.col("last.doc"))
+
+
+def _matched(rows: DataFrame, sides: DataFrame, places: list[str]) -> DataFrame:
+    """(doc, source, own, other): the places of each key with its first place, and the second of three with the third as well."""
+    total = sides.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    place = F.struct("doc", *places)
+    sides = sides.select("seed", "first", F.when(F.col("n") == RARE, F.col("last")).alias("last"), "n")
+    joined = join_hot_aware(rows, sides, "seed", "n", total).select(place.alias("own"), "first", "last")
+    middle = F.col("last").isNotNull() & (F.col("own") > F.col("first")) & (F.col("own") < F.col("last"))
+    match = F.struct("own", F.col("first").alias("other"))
+    later = F.struct(F.col("last").alias("own"), F.col("own").alias("other"))
+    found = joined.select(F.explode(F.when(middle, F.array(match, later)).otherwise(F.array(match))).alias("m")).select("m.own", "m.other")
+    return found.where(F.col("own.doc") != F.col("other.doc")).select(F.col("own.doc").alias("doc"), F.col("other.doc").alias("source"), "own", "other")
+
+
+def copies(slim: DataFrame) -> DataFrame:
+    """(doc, digest, rep, n): rows whose whole text an earlier document has, the first such document, and how many rows have the text."""
+    long = slim.where(F.octet_length("text") >= 2 * MIN_WORDS - 1).select("doc", "digest", F.sha2("text", 256).alias("same"))
+    firsts = long.groupBy("same").agg(F.min("doc").alias("rep"), F.max("doc").alias("most"), F.count("*").alias("n")).where(F.col("rep") < F.col("most"))
+    firsts = written(firsts.select("same", "rep", "n"), "texts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sides = firsts.withColumn("copies", F.col("n"))
+    found = join_hot_aware(long, sides, "same", "n", total).where(F.col("doc") > F.col("rep"))
+    return written(found.select("doc", "digest", "rep", F.col("copies").alias("n")).distinct(), "copies")
+
+
+def chains(slim: DataFrame) -> DataFrame:
+    """Chained seeds of each document (doc, text) with each of the earlier documents that it is matched with."""
     slim = slim.where(F.col("doc").isNotNull())
     place = F.struct("doc", "at")
     placed = slim.mapInArrow(tidied(_seed_rows), "seed long, doc long, at int")
-    seen = placed.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where(F.col("n") > 1)
-    anchors = written(
-        seen.select("seed", F.col("first.doc").alias("source"), F.col("first.at").alias("there"), "last", "n"),
-        "anchors",
-    )
-    filters = docs.sparkSession.sparkContext.broadcast((_filter(anchors), _filter(anchors.where(F.col("n") > RARE))))
-    keys = written(slim.mapInArrow(tidied(_key_rows(filters)), "seed long, doc long, at int, run boolean"), "keys")
-    total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    some = F.when(F.col("n") == RARE, F.col("last"))
-    sides = anchors.select("seed", "source", "there", some.alias("last"), "n")
-    matches = join_hot_aware(keys.where("not run").drop("run"), sides, "seed", "n", total)
-    # of three places the second is matched with the third as well, which has a match with the first of its own
-    middle = F.col("last").isNotNull() & (place > F.struct("source", "there")) & (place < F.col("last"))
-    own = F.struct("doc", "source", "at", "there")
-    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("source"), F.col("last.at").alias("at"), F.col("at").alias("there"))
-    matches = matches.select(F.explode(F.when(middle, F.array(own, later)).otherwise(F.array(own))).alias("m")).select("m.*", F.lit(False).alias("run"))
-    runs = keys.where("run").drop("run")
-    firsts = runs.groupBy("seed").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    anchors = written(_repeated(placed, ["at"]), "anchors")
+    filters = slim.sparkSession.sparkContext.broadcast((_filter(anchors), _filter(anchors.where(F.col("n") > RARE))))
+    keys = written(slim.mapInArrow(tidied(_key_rows(filters)), "seed long, doc long, at int, then int, kind byte"), "keys")
+    seeded = _matched(keys.where(F.col("kind") == SEED).select("seed", "doc", "at"), anchors, ["at"])
+    matches = seeded.select("doc", "source", F.col("own.at").alias("at"), F.col("other.at").alias("there"), F.lit(False).alias("run"))
+    two = keys.where(F.col("kind") == PAIR).select("seed", "doc", "at", "then")
+    both = _matched(two, written(_repeated(two, ["at", "then"]), "pairs"), ["at", "then"])
+    ends = F.explode(F.array(*(F.struct(F.col(f"own.{k}").alias("at"), F.col(f"other.{k}").alias("there")) for k in ("at", "then"))))
+    linked_too = both.select("doc", "source", ends.alias("m")).select("doc", "source", "m.at", "m.there", F.lit(False).alias("run"))
+    runs = keys.where(F.col("kind") == RUN).select("seed", "doc", "at")
+    firsts = runs.groupBy("seed").agg(F.min(place).alias("first"), F.max("doc").alias("most"), F.count("*").alias("n")).where(F.col("first.doc") < F.col("most"))
     firsts = written(firsts.select("seed", F.col("first.doc").alias("source"), F.col("first.at").alias("there"), "n"), "runs")
     many = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wide = join_hot_aware(runs, firsts, "seed", "n", many).select("doc", "source", "at", "there", F.lit(True).alias("run"))
     pairs = (
-        matches.union(wide)
+        matches.union(linked_too)
+        .union(wide)
         .where(F.col("doc") != F.col("source"))
         .groupBy("doc", "source")
         .agg(F.collect_list(F.struct("at", "there", "run")).alias("pairs"))
@@ -510,15 +585,21 @@ def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, source_doc_id, source_start, source_end, matched_words): every passage that an earlier document has as well."""
-    found = chains(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
+    text = column(text_col).cast("string")
+    every = docs.select(column(id_col).cast("long").alias("doc"), text.cast("binary").alias("text"), F.xxhash64(text).alias("digest")).where(F.col("doc").isNotNull())
+    again = copies(every)
+    held = again.count() * 64
+    side = again.select("doc", "digest")
+    slim = every.join(F.broadcast(side) if held <= BROADCAST_BYTES else side, ["doc", "digest"], "left_anti").select("doc", "text")
+    found = chains(slim)
     asked = written(
         found.select("doc", "low", "high").union(found.select("source", "source_low", "source_high")).groupBy("doc", "low", "high").agg(F.count("*").alias("n")),
         "asked",
     )
     ranges = written(asked.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
-    spoken = docs.select(column(id_col).cast("long").alias("doc"), column(text_col).cast("string").cast("binary").alias("text"))
     held = ranges.agg(F.coalesce(F.sum(F.size("ranges") * 40 + 96), F.lit(0))).first()[0]
-    cut = spoken.join(F.broadcast(ranges) if held <= BROADCAST_BYTES else ranges, "doc").select("doc", "text", "ranges")
+    cut = slim.join(F.broadcast(ranges) if held <= BROADCAST_BYTES else ranges, "doc").select("doc", "text", "ranges")
     place = F.xxhash64("doc", "low", "high")
     pieces = cut.mapInArrow(tidied(_pieces), "doc long, low long, high long, spoken binary").select(place.alias("place"), "spoken")
     pieces = written(pieces, "pieces")
@@ -529,8 +610,22 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     two = with_own.withColumn("place", F.xxhash64("source", "source_low", "source_high"))
     with_both = join_salted(two, pieces, "place", sizes, total).withColumnRenamed("spoken", "other")
     kinds = "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, matched_words long"
-    every = with_both.select("doc", "source", "low", "source_low", "at", "there", "words", "counts", "own", "other").mapInArrow(tidied(_passage_rows), kinds)
-    by_doc = every.groupBy("doc_id").agg(F.collect_list(F.struct(*every.columns[1:])).alias("found"))
+    parts = with_both.select("doc", "source", "low", "source_low", "at", "there", "words", "counts", "own", "other").mapInArrow(tidied(_passage_rows), kinds)
+    parts = written(parts, "parts")
+    fields = parts.columns
+    # copies have their text's passages, and the whole text against the first document that has it
+    texts = again.groupBy("rep", "digest").agg(F.max("n").alias("n"))
+    first = every.withColumnRenamed("doc", "rep").join(F.broadcast(texts) if held <= BROADCAST_BYTES else texts, ["rep", "digest"])
+    first = first.select("rep", "digest", "n", F.size(words_of(F.col("text").cast("string"))).cast("long").alias("words")).distinct().where(F.col("words") >= MIN_WORDS)
+    its = parts.groupBy(F.col("doc_id").alias("rep")).agg(F.collect_list(F.struct(*fields[1:])).alias("found"))
+    zero = F.lit(0).cast("long")
+    whole = F.array(F.struct(*(v.alias(k) for k, v in zip(fields[1:], (zero, F.col("words"), F.col("rep"), zero, F.col("words"), F.col("words")), strict=True))))
+    sides = first.join(its, "rep", "left").select(F.xxhash64("rep", "digest").alias("of"), "n", F.when(F.col("found").isNull(), whole).otherwise(F.concat("found", whole)).alias("found"))
+    sides = written(sides, "wholes")
+    total = again.count()
+    copied = join_hot_aware(again.select(F.col("doc").alias("doc_id"), F.xxhash64("rep", "digest").alias("of")), sides, "of", "n", total)
+    all_parts = parts.union(copied.select("doc_id", F.explode("found").alias("p")).select("doc_id", "p.*"))
+    by_doc = all_parts.groupBy("doc_id").agg(F.collect_list(F.struct(*fields[1:])).alias("found"))
     return by_doc.mapInArrow(tidied(_first_rows), kinds)
 
 

@@ -651,6 +651,31 @@ def test_no_exact_repeat_is_lost_if_its_parts_stand_elsewhere_first(spark, times
     assert len(wanted) >= 12 and not any(set(range(k, k + substring.K)) <= w for w in lost.values() for k in w)
 
 
+def test_near_passages_whose_parts_stand_elsewhere_first(spark):
+    rng, texts, pairs = random.Random(29), [], []
+    for _ in range(20):
+        passage = prose(rng, 60, "abcdefghijklmnop").split()
+        for at in (0, 12, 25, 38):
+            part = " ".join(passage[at : at + 22])
+            texts += [f"{prose(rng, 30)} {part} {prose(rng, 30)}" for _ in range(4)]
+        near = ["changed" if k % 20 == 10 else w for k, w in enumerate(passage)]
+        texts += [f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}" for w in (passage, near)]
+        pairs.append((len(texts) - 1, len(texts) - 2))
+    found = {(r["doc_id"], r["source_doc_id"]): r for r in substring.passages(documents(spark, list(enumerate(texts)))).collect()}
+    assert set(found) == set(pairs)
+    assert all(found[p]["start_word"] <= 31 and found[p]["end_word"] >= 89 for p in pairs)
+
+
+def test_copies_of_a_text_have_its_passages(spark):
+    rng = random.Random(31)
+    passage, own, short = prose(rng, 60), prose(rng, 70), prose(rng, 30)
+    both = f"{own} {passage}"
+    texts = [(1, passage), (2, both), (3, both), (3, both), (4, short), (5, short), (6, f"{both} {short}"), (7, both), (7, prose(rng, 80)), (None, both)]
+    found = sorted(tuple(r) for r in substring.passages(documents(spark, texts)).collect())
+    part = (70, 130, 1, 0, 60, 60)
+    assert found == sorted([(2, *part), (3, *part), (3, 0, 130, 2, 0, 130, 130), (6, *part), (6, 0, 130, 2, 0, 130, 130), (7, *part), (7, 0, 130, 2, 0, 130, 130)])
+
+
 def test_a_loose_chain_is_cut_into_its_alike_parts(spark):
     rng = random.Random(11)
     parts = [prose(rng, 55) for _ in range(10)]
