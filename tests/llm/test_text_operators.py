@@ -651,6 +651,16 @@ def test_no_exact_repeat_is_lost_if_its_parts_stand_elsewhere_first(spark, times
     assert len(wanted) >= 12 and not any(set(range(k, k + substring.K)) <= w for w in lost.values() for k in w)
 
 
+def test_workers_get_small_batches(spark):
+    name, texts = "spark.sql.execution.arrow.maxRecordsPerBatch", [(i, "a b c") for i in range(1200)]
+    for given, most in ((None, 500), (700, 700)):
+        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+        substring.passages(documents(spark, texts[:2])).count()
+        sizes = documents(spark, texts).coalesce(1).select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) == most
+    spark.conf.unset(name)
+
+
 def test_near_passages_whose_parts_stand_elsewhere_first(spark):
     rng, texts, pairs = random.Random(29), [], []
     for _ in range(20):
