@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numeric import share
 
 
-def agg_report(df: DataFrame, flags: dict[str, object], label: str | None = "is_laundering") -> DataFrame:
-    """(grp, n_flagged, share_of_data, n_laundering, laundering_share_among_flagged) for each named condition and all rows, from one pass."""
+def agg_report(df: DataFrame, flags: dict[str, object], label: str | None = "is_laundering", weight: str | None = None) -> DataFrame:
+    """(grp, n_flagged, share_of_data, n_laundering, laundering_share_among_flagged) for each named condition and all rows, from one pass.
+
+    weight names the column that says for how many rows a row stands; the label's column then says how many of these have it.
+    """
     has = label is not None and label in df.columns
     named = {**flags, "all_rows": F.lit(True)}
     parts = []
     for name, condition in named.items():
-        hit = F.count_if(condition)
-        bad = F.count_if(condition & (F.col(label) == 1)) if has else F.lit(None).cast("long")
+        if weight is None:
+            hit = F.count_if(condition)
+            bad = F.count_if(condition & (F.col(label) == 1)) if has else F.lit(None).cast("long")
+        else:
+            held = lambda c, on=condition: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0).cast("long"))
+            hit, bad = held(weight), held(label) if has else F.lit(None).cast("long")
         rate = F.when(hit == 0, 0.0).otherwise(share(bad, hit)) if has else F.lit(None).cast("double")
         parts.append(
             F.struct(
-                F.lit(name).alias("grp"), hit.alias("n_flagged"), share(hit, F.count("*")).alias("share_of_data"), bad.alias("n_laundering"), rate.alias("laundering_share_among_flagged")
+                F.lit(name).alias("grp"), hit.alias("n_flagged"), share(hit, F.count("*") if weight is None else F.sum(weight)).alias("share_of_data"), bad.alias("n_laundering"), rate.alias("laundering_share_among_flagged")
             )
         )
     return df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("r")).select("r.*")

@@ -103,20 +103,42 @@ def build_features(tx: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _scored_points(df: DataFrame, columns: list[str], contamination: float, k: int, label: str | None = None) -> DataFrame:
+    """The different points of df as doubles, the rows that each stands for in _n and of these those with label 1 in _labelled, with scores, flags, votes and consensus.
+
+    Detectors look at nothing but a row's values, so equal rows have equal scores; what is written grows with the different points and not with the rows.
+    """
+    bad = F.count_if(F.col(label) == 1) if label else F.lit(None).cast("long")
+    points = df.groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count("*").alias("_n"), bad.alias("_labelled"))
+    points = stored(points, "ensemble")  # the detectors read it several times
+    out = models.isolation_forest(points, columns, weight="_n")
+    out = stored(models.lof_scores(out, columns, k, weight="_n"), "local")  # copod counts and ranks it
+    out = stored(models.copod_scores(out, columns, "copod_score", "_n"), "scores")  # each limit reads a score, and the result all of them
+    for d in models.DETECTORS:
+        out = models.flagged(out, f"{d}_score", f"{d}_is_outlier", contamination, "_n")
+    return models.votes(out, [f"{d}_is_outlier" for d in models.DETECTORS])
+
+
 def run_ensemble(matrix: DataFrame, columns: list[str], contamination: float = 0.005, k: int = 20) -> DataFrame:
     """matrix with the scores and flags of three detectors, their votes and the consensus."""
     prep.check_numeric(matrix, columns)
-    df = stored(features.clean_numeric(matrix), "ensemble")  # the detectors read it several times
-    df = models.isolation_forest(df, columns)
-    df = stored(models.lof_scores(df, columns, k), "local")  # copod counts and ranks it
-    df = stored(models.copod_scores(df, columns), "scores")  # each limit reads a score, and the result all of them
-    for d in models.DETECTORS:
-        df = models.flagged(df, f"{d}_score", f"{d}_is_outlier", contamination)
-    return models.votes(df, [f"{d}_is_outlier" for d in models.DETECTORS])
+    df = stored(features.clean_numeric(matrix), "matrix")  # read for its points, and for the result
+    points = _scored_points(df, columns, contamination, k)
+    found = points.select(*[F.col(c).alias(f"_at_{i}") for i, c in enumerate(columns)], *[c for c in points.columns if c not in (*columns, "_n", "_labelled")])
+    same = [F.col(c).cast("double") == F.col(f"_at_{i}") for i, c in enumerate(columns)]
+    return df.join(found, same, "left").drop(*[f"_at_{i}" for i in range(len(columns))])
+
+
+def points_report(matrix: DataFrame, columns: list[str], label: str | None = "is_laundering", contamination: float = 0.005, k: int = 20) -> DataFrame:
+    """The report of the ensemble's run over matrix, from its different points: no row is written."""
+    prep.check_numeric(matrix, columns)
+    label = label if label in matrix.columns else None
+    df = features.clean_numeric(matrix.select(*dict.fromkeys([*columns, *([label] if label else [])])))
+    return ensemble_report(_scored_points(df, columns, contamination, k, label), "_labelled" if label else None, "_n")
 
 
-def ensemble_report(scored: DataFrame, label: str | None = "is_laundering") -> DataFrame:
-    """The six flag groups and all rows against the label."""
+def ensemble_report(scored: DataFrame, label: str | None = "is_laundering", weight: str | None = None) -> DataFrame:
+    """The six flag groups and all rows against the label. weight names the column that says for how many rows a row stands."""
     groups = {d: F.col(f"{d}_is_outlier") == 1 for d in models.DETECTORS}
     groups |= {f"votes_{n}": F.col("anomaly_votes") == n for n in (2, 3)} | {"consensus": F.col("consensus_anomaly") == 1}
-    return evaluate.agg_report(scored, groups, label)
+    return evaluate.agg_report(scored, groups, label, weight)

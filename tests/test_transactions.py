@@ -460,3 +460,79 @@ def test_the_ensemble_ranks_and_scores_stored_rows(spark):
     finally:
         models.copod_scores = real
     assert "Join" not in read[0] and "ArrowEvalPython" not in read[0]
+
+
+def test_outlier_factors_over_cells_are_those_of_all_rows(spark, monkeypatch):
+    from ledgerlens.functions import neighbours as module
+
+    monkeypatch.setattr(module, "CELL", 3)
+    monkeypatch.setattr(module, "LEAF", 4)
+    k = 3
+    times = {(float(a), float(b)): 1 + 3 * (a == 5) * (b % 4 == 0) + (a + b) % 2 for a in range(12) for b in range(12)} | {(300.0, -40.0): 1, (11.5, 11.25): 2, (0.0, 400.0): 5}
+    rows = spark.createDataFrame([(*p, n) for p, n in times.items()], "a double, b double, n int")
+    keys = sorted(times)
+    near, last = {}, {}
+    for p in keys:
+        d = sorted((math.sqrt((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2), q) for q in keys)
+        near[p] = [x for x in d for _ in range(times[x[1]])][1 : k + 1]  # without the row itself
+        last[p] = near[p][-1][0]
+    dense = {p: 1 / (sum(max(d, last[q]) for d, q in near[p]) / k + 1e-10) for p in keys}
+    want = {p: sum(dense[q] for _, q in near[p]) / k / dense[p] for p in keys}
+    got = {tuple(r["key"]): r["factor"] for r in module.local_outliers(rows, ["a", "b"], k, "n").collect()}
+    assert got == pytest.approx(want)
+    copies = spark.createDataFrame([p for p, n in times.items() for _ in range(n)], "a double, b double")
+    assert {tuple(r["key"]): r["factor"] for r in module.local_outliers(copies, ["a", "b"], k).collect()} == pytest.approx(want)
+    alone = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    assert [r["factor"] for r in module.local_outliers(alone, ["a", "b"], k).collect()] == [None]
+    assert module.local_outliers(alone.limit(0), ["a", "b"], k).count() == 0
+
+
+def test_points_score_like_their_rows(spark):
+    from ledgerlens.operators import features
+    from ledgerlens.plans.runs import points_report
+
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame({"a": np.round(rng.gamma(2, 30, 250), 2), "b": np.round(rng.normal(size=250), 1)}).loc[np.repeat(np.arange(250), rng.integers(1, 25, 250))].reset_index(drop=True)
+    x["is_laundering"], x["id"] = rng.integers(0, 2, len(x)), np.arange(len(x))
+    x.loc[3, "a"] = np.nan
+    df = spark.createDataFrame(x)
+    want = models.copod_scores(models.lof_scores(models.isolation_forest(features.clean_numeric(df), ["a", "b"]), ["a", "b"], 20), ["a", "b"])
+    for d in models.DETECTORS:
+        want = models.flagged(want, f"{d}_score", f"{d}_is_outlier", 0.005)
+    want = models.votes(want, [f"{d}_is_outlier" for d in models.DETECTORS])
+    got = run_ensemble(df, ["a", "b"])
+    assert got.columns == want.columns
+    pairs = zip(*(t.orderBy("id").collect() for t in (got, want)), strict=True)
+    assert all(list(a) == pytest.approx(list(b), rel=1e-12) for a, b in pairs)
+    assert sorted(points_report(df, ["a", "b"]).collect()) == sorted(ensemble_report(want).collect())
+    assert sorted(map(str, points_report(df.drop("is_laundering"), ["a", "b"]).collect())) == sorted(map(str, ensemble_report(want.drop("is_laundering")).collect()))
+    assert {r["n_flagged"] for r in points_report(df.limit(0), ["a", "b"]).collect()} == {0}
+
+
+def test_quantiles_of_rows_that_stand_for_many(spark, monkeypatch):
+    from ledgerlens.functions import quantiles
+
+    rng = np.random.default_rng(5)
+    v, n = np.round(rng.normal(size=500), 2), rng.integers(0, 40, 500)
+    n[7] = 3000
+    rows = spark.createDataFrame(pd.DataFrame({"v": v, "n": n})).union(spark.createDataFrame([(None, 9), (float("nan"), 9)], "v double, n long"))
+    want = np.quantile(np.repeat(v, n), [0.0, 0.3, 0.995, 1.0]).tolist()
+    monkeypatch.setattr(quantiles, "BATCH", 1000)
+    for sketched in (1 << 20, 2000):
+        monkeypatch.setattr(quantiles, "SKETCHED", sketched)
+        assert quantiles.exact_quantiles(rows, {"v": F.col("v")}, [0.0, 0.3, 0.995, 1.0], weight=F.col("n"))["v"] == pytest.approx(want)
+
+
+def test_the_ensemble_report_writes_points_and_neither_rows_nor_neighbours(spark, monkeypatch, tmp_path):
+    from ledgerlens.plans import profiling
+
+    view = profiling.transactions
+    monkeypatch.setattr(profiling, "transactions", lambda *a: view(*a).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3)))))
+    monkeypatch.setattr("ledgerlens.functions.storage.shared_folder", lambda spark: str(tmp_path))
+    report = {r["grp"]: r["n_flagged"] for r in profiling.QUERIES["ensemble_report_full"](spark, "/root/testdata/sf0.001").collect()}
+    tx = view(spark, "/root/testdata/sf0.001")
+    unlike = tx.select("amount_paid", "amount_received").distinct().count()
+    assert report["all_rows"] == 3 * tx.count() >= 3 * unlike
+    for path in (tmp_path / "ledgerlens").iterdir():
+        table = spark.read.parquet(str(path))
+        assert table.count() <= 2 * unlike and "struct" not in " ".join(kind for _, kind in table.dtypes), path.name  # ranks have both columns' values
